@@ -145,3 +145,93 @@ def short_md5(e: str, n: int = 16) -> str:
 
 def with_(*parts: str, recursive: bool = False) -> str:
     return ("with recursive " if recursive else "with ") + ",\n".join(p.strip() for p in parts) + "\n"
+
+_SKIPS = ["muc luc", "mục lục", "table of contents", "目次", "ly lich sua doi", "lý lịch sửa đổi", "revision history",
+          "change history", "document history", "改訂履歴"]
+_MARKS = ["tiep trang sau", "tiếp trang sau", "continued on next page", "continue on next page", "次ページに続く"]
+
+
+def has_any(e: str, words) -> str:
+    return "(" + " or ".join(f"contains({e}, '{w}')" for w in words) + ")"
+
+
+def skip_section(e: str) -> str:
+    return has_any(norm_match(e), _SKIPS)
+
+
+def skip_mark(e: str) -> str:
+    return has_any(norm_match(e), _MARKS)
+
+
+# rows outside skipped sections: a skipped heading rules until the next heading of its level or above
+KEPT = f"""
+rawh as (select pair_id, side, ord, level, text from onodes where type = 'heading'),
+skp as (select h.pair_id, h.side, h.ord, (select min(x.ord) from rawh x where x.pair_id = h.pair_id and x.side = h.side
+           and x.ord > h.ord and x.level <= h.level) as until from rawh h where {skip_section('h.text')}),
+kept as (select n.* from onodes n where not exists (select 1 from skp s where s.pair_id = n.pair_id and s.side = n.side
+           and n.ord >= s.ord and n.ord < coalesce(s.until, 2147483647)))
+"""
+PATHS = """
+hs as (select pair_id, side, ord, level, text from kept where type = 'heading' and trim(text) <> ''),
+hspan as (select h.*, coalesce((select min(x.ord) from hs x where x.pair_id = h.pair_id and x.side = h.side
+           and x.ord > h.ord and x.level <= h.level), 2147483647) as until from hs h),
+pth as (select n.pair_id, n.side, n.ord, string_agg(h.text, ' > ' order by h.ord) as heading_ctx,
+           max_by(h.level, h.ord) as heading_level
+        from kept n join hspan h on h.pair_id = n.pair_id and h.side = n.side and n.ord >= h.ord and n.ord < h.until
+        group by n.pair_id, n.side, n.ord),
+ctx as (select n.*, p.heading_ctx, coalesce(p.heading_level, 0) as heading_level
+        from kept n left join pth p using (pair_id, side, ord))
+"""
+
+
+def align_sql(items: str, keys: list[str], p: str) -> str:
+    """CTEs ending in ``{p}ops``: opcodes of the relation ``items (keys, side, idx, key)`` by recursive splitting.
+
+    Needs WITH RECURSIVE.  Written over explicit matches and their diagonal runs, unlike the Spark side.
+    """
+    k = ", ".join(keys)
+
+    def on(x, y):
+        return " and ".join(f"{x}.{c} = {y}.{c}" for c in keys)
+
+    return f"""
+{p}n as (select {k}, cast(count(*) filter (where side = 'A') as bigint) as na,
+         cast(count(*) filter (where side = 'B') as bigint) as nb from {items} group by {k}),
+{p}m as (select {", ".join("a." + c for c in keys)}, cast(a.idx as bigint) as i, cast(b.idx as bigint) as j
+         from {items} a join {items} b on {on("a", "b")} and a.key = b.key where a.side = 'A' and b.side = 'B'),
+{p}d as (select *, i - row_number() over (partition by {k}, i - j order by i) as g from {p}m),
+{p}r as (select {k}, min(i) as i0, min(j) as j0, count(*) as len from {p}d group by {k}, i - j, g),
+{p}t as (
+ select {k}, '' as path, cast(0 as bigint) as alo, na as ahi, cast(0 as bigint) as blo, nb as bhi, i0 as i, j0 as j, len as n
+ from (select r.*, na, nb, row_number() over (partition by {", ".join("r." + c for c in keys)} order by len desc, i0, j0)
+       as rn from {p}r r join {p}n n on {on("r", "n")}) where rn = 1
+ union all
+ select {k}, path, alo, ahi, blo, bhi, i, j, n from (
+  select *, row_number() over (partition by {k}, path order by n desc, i, j) as rn from (
+   select {", ".join("c." + x for x in keys)}, c.path, c.alo, c.ahi, c.blo, c.bhi, c.i0 + c.s as i, c.j0 + c.s as j,
+          least(c.len - c.s, c.ahi - c.i0 - c.s, c.bhi - c.j0 - c.s) as n
+   from (select c0.*, r0.i0, r0.j0, r0.len, greatest(0, c0.alo - r0.i0, c0.blo - r0.j0) as s from (
+          select {", ".join("t." + c for c in keys)}, t.path || x.d as path,
+            case when d = 'l' then alo else i + n end as alo, case when d = 'l' then i else ahi end as ahi,
+            case when d = 'l' then blo else j + n end as blo, case when d = 'l' then j else bhi end as bhi
+          from {p}t t, (values ('l'), ('r')) x(d)) c0 join {p}r r0 on {on("c0", "r0")}) c
+  ) where n > 0) where rn = 1),
+{p}b as (select {k}, i, j, n from {p}t union all select {k}, na, nb, 0 from {p}n),
+{p}g as (select *, lag(i + n, 1, 0) over w as pi, lag(j + n, 1, 0) over w as pj from {p}b
+         window w as (partition by {k} order by i, j, n desc)),
+{p}e as (select *, sum(case when pi = i and pj = j then 0 else 1 end) over (partition by {k} order by i, j, n desc) as isl
+         from {p}g),
+{p}ops as (
+ select {k}, case when pi < i and pj < j then 'replace' when pi < i then 'delete' else 'insert' end as tag,
+        cast(pi as int) as i1, cast(i as int) as i2, cast(pj as int) as j1, cast(j as int) as j2
+ from {p}g where pi < i or pj < j
+ union all select {k}, 'equal', cast(min(i) as int), cast(max(i + n) as int), cast(min(j) as int), cast(max(j + n) as int)
+ from {p}e where n > 0 group by {k}, isl)
+"""
+
+
+LINE_BLOCKS = f"""
+lnorm as (select pair_id, side, pos, line, {norm_sig("line")} as norm from lines),
+lblk as (select pair_id, side, row_number() over (partition by pair_id, side order by pos) - 1 as idx, pos as ord, line, norm,
+         'paragraph|P:' || substr(md5('txt:' || norm), 1, 16) as key from lnorm where norm <> '')
+"""

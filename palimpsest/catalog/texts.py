@@ -48,7 +48,7 @@ _simple("t7_norm_for_match", text.norm_for_match, S.norm_match("line"))
 _simple("t8_tokenize", lambda c: F.array_join(F.array_sort(text.tokenize(c)), "|"),
         "coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(line), '[\\p{L}\\p{N}_]+'))), '|'), '')")
 _simple("t9_detokenize", lambda c: text.detokenize(F.split(text.norm_for_diff(c), " ")),
-        f"regexp_replace(regexp_replace({S.norm_diff('line')}, ' ([,;])', '\\1', 'g'), '^ +', '')")
+        f"trim(regexp_replace(regexp_replace({S.norm_diff('line')}, ' ([,;])', '\\1', 'g'), '([,;]) ', '\\1  ', 'g'))")
 
 
 @query("t1_unicode_composition", """

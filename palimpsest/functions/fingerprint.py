@@ -15,8 +15,22 @@ from palimpsest.functions.text import chapter_number, heading_body, norm_for_sig
 SEPARATOR = "|"
 
 
+EMPTY_MD5 = "d41d8cd98f00b204e9800998ecf8427e"
+
+
 def short_hash(s: Column, n: int = 16) -> Column:
-    return F.when(F.coalesce(s, F.lit("")) == "", "empty").otherwise(F.substring(F.md5(s), 1, n))
+    """First ``n`` digits of the md5, or the word ``empty``.  ``s`` appears once, so it is computed once."""
+    digest = F.md5(F.coalesce(s, F.lit("")))
+    return F.substring(F.replace(digest, F.lit(EMPTY_MD5), F.lit("empty")), 1, n)
+
+
+def _text_part(normalized: Column) -> Column:
+    """``txt:`` before a text that is not empty, with the text named only once."""
+    return F.regexp_replace(normalized, "(?s)^(.+)$", "txt:$1")
+
+
+def _joined(parts: Column) -> Column:
+    return F.array_join(F.filter(parts, lambda p: p != ""), SEPARATOR)
 
 
 def _filled(s: Column) -> Column:
@@ -44,11 +58,10 @@ def dimensions(width: Column, height: Column) -> Column:
                     F.coalesce(height, F.lit(0)).cast("string"))
 
 
-def _text_parts(text: Column, numbering: Column, images: Column) -> Column:
-    t = norm_for_signature(text)
-    first = F.array(F.when(t != "", F.concat(F.lit("txt:"), t)), F.nullif(numbering_key(numbering), F.lit("")))
+def _text_parts(text: Column, numbering: Column, images: Column, normalized: bool) -> Column:
+    first = F.array(_text_part(text if normalized else norm_for_signature(text)), numbering_key(numbering))
     keys = F.transform(F.coalesce(images, F.array().cast(IMAGES)), image_key)
-    return F.array_join(F.array_compact(F.concat(first, keys)), SEPARATOR)
+    return _joined(F.concat(first, keys))
 
 
 IMAGE = "struct<sha256:string,name:string,width_emu:bigint,height_emu:bigint,uid:string>"
@@ -56,13 +69,14 @@ IMAGES = f"array<{IMAGE}>"
 NUMBERING = "struct<level:int,num_fmt:string,lvl_text:string,label:string>"
 
 
-def heading_signature(level: Column, text: Column, numbering: Column, images: Column) -> Column:
+def heading_signature(level: Column, text: Column, numbering: Column, images: Column, normalized: bool = False) -> Column:
     return F.concat(F.lit("H"), F.coalesce(level, F.lit(0)).cast("string"), F.lit(":"),
-                    short_hash(_text_parts(text, numbering, images)))
+                    short_hash(_text_parts(text, numbering, images, normalized)))
 
 
-def paragraph_signature(text: Column, numbering: Column, images: Column) -> Column:
-    return F.concat(F.lit("P:"), short_hash(_text_parts(text, numbering, images)))
+def paragraph_signature(text: Column, numbering: Column, images: Column, normalized: bool = False) -> Column:
+    """``normalized`` says that ``text`` is already in signature form."""
+    return F.concat(F.lit("P:"), short_hash(_text_parts(text, numbering, images, normalized)))
 
 
 def image_signature(img: Column) -> Column:
@@ -103,14 +117,12 @@ def _cell_image_key(img: Column) -> Column:
 
 
 def cell_item_key(item: Column) -> Column:
-    t = norm_for_signature(item["text"])
     known = F.filter(F.coalesce(item["images"], F.array().cast(IMAGES)),
                      lambda i: _filled(i["sha256"]).isNotNull() | _filled(i["uid"]).isNotNull())
-    parts = F.concat(F.array_compact(F.array(F.when(t != "", F.concat(F.lit("txt:"), t)))),
-                     F.transform(known, _cell_image_key))
+    parts = _joined(F.concat(F.array(_text_part(norm_for_signature(item["text"]))), F.transform(known, _cell_image_key)))
     prefix = F.when(item["type"] == "shape", "SHP:").otherwise("P:")
-    body = F.when(F.size(parts) > 0, F.concat(prefix, short_hash(F.array_join(parts, SEPARATOR)))).otherwise(
-        F.concat(prefix, F.lit("empty:"), F.coalesce(item["uid"], F.lit(""))))
+    body = F.concat(prefix, F.replace(F.substring(F.md5(parts), 1, 16), F.lit(EMPTY_MD5[:16]),
+                                      F.concat(F.lit("empty:"), F.coalesce(item["uid"], F.lit("")))))
     image = F.coalesce(F.concat(F.lit("img:"), F.substring(_filled(item["sha256"]), 1, 16)),
                        F.concat(F.lit("img:nosha:"), F.substring(F.md5(_filled(item["uid"])), 1, 8)),
                        F.lit("img:unknown"))
@@ -131,7 +143,7 @@ CONTENT = (f"array<struct<type:string,uid:string,text:string,text_display:string
 
 
 def alignment_key(kind: Column, signature: Column, level: Column, text: Column, parts: Column, uid: Column,
-                  parent_uid: Column, ctx: Column) -> Column:
+                  parent_uid: Column, ctx: Column, normalized: bool = False) -> Column:
     """What two blocks must share to be aligned as equal; headings ignore their chapter number."""
     bodies = path_bodies(ctx)
     shape_head = F.when(
@@ -139,9 +151,9 @@ def alignment_key(kind: Column, signature: Column, level: Column, text: Column,
         F.concat(F.lit("shape|empty|"), empty_shape_id(uid, parent_uid, bodies), F.lit("|"), bodies),
     ).otherwise(F.concat(F.lit("shape|"), F.substring(F.md5(F.array_join(parts, " ")), 1, 16), F.lit("|n"),
                          F.size(parts).cast("string"), F.lit("|"), bodies))
-    t = norm_for_signature(text)
+    t = text if normalized else norm_for_signature(text)
     chapter = chapter_number(t)
-    depth = F.when(chapter == "", 0).otherwise(F.size(F.split(chapter, "\\.")))
+    depth = F.regexp_count(chapter, F.lit("\\d+"))
     lvl = F.when(F.coalesce(level, F.lit(0)) == 0, 1).otherwise(level)
     heading = F.concat(F.lit("H"), lvl.cast("string"), F.lit("|d"), depth.cast("string"), F.lit("|"),
                        F.substring(F.md5(heading_body(t)), 1, 12))

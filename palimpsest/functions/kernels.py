@@ -6,6 +6,7 @@ import difflib
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +27,52 @@ def compose(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(text.rlike("[^\\x{0}-\\x{2ff}]"), text)), text)
 
 
+SMALL = 40_000
+
+
+def _matched(a: str, b: str) -> int:
+    """Matched characters of long texts: the longest common run, then both sides of it, and so on.
+
+    Run lengths ending at (i, j) are kept for the places of one character only, so a row of the table costs one
+    short vector step; the first longest run wins, as in the small case.
+    """
+    x = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)
+    y = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
+    order = np.argsort(y, kind="stable")
+    letters, first = np.unique(y[order], return_index=True)
+    spots = dict(zip(letters.tolist(), np.split(order, first[1:])))
+    none = np.empty(0, dtype=np.int64)
+    total, todo = 0, [(0, len(x), 0, len(y))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        runs = np.zeros(bhi - blo + 1, dtype=np.int32)
+        last, best, bi, bj = none, 0, 0, 0
+        for i in range(alo, ahi):
+            at = spots.get(int(x[i]), none)
+            if blo > 0 or bhi < len(y):
+                at = at[np.searchsorted(at, blo):np.searchsorted(at, bhi)]
+            at = at - blo
+            grown = runs[at] + 1
+            runs[last + 1] = 0
+            runs[at + 1] = grown
+            last = at
+            if len(at):
+                k = int(grown.argmax())
+                if grown[k] > best:
+                    best = int(grown[k])
+                    bi, bj = i - best + 1, int(at[k]) + blo - best + 1
+        if best:
+            total += best
+            if alo < bi and blo < bj:
+                todo.append((alo, bi, blo, bj))
+            if bi + best < ahi and bj + best < bhi:
+                todo.append((bi + best, ahi, bj + best, bhi))
+    return total
+
+
 def _ratio(a, b) -> float:
+    if isinstance(a, str) and len(a) * len(b) > SMALL:
+        return 2.0 * _matched(a, b) / (len(a) + len(b))
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
@@ -61,40 +107,40 @@ EDGE = T.StructType([T.StructField("ki", T.IntegerType()), T.StructField("kj", T
                      T.StructField("sim", T.DoubleType())])
 
 
+def _similarity(x, y, floor: float, letters_x: Counter, letters_y: Counter) -> float | None:
+    """Similarity of two items of one kind, or None once an upper bound shows that it is below ``floor``."""
+    same = x["ctx"] == y["ctx"]
+    if x["kind"] == "table":
+        r = _ratio(list(x["rows"]), list(y["rows"]))
+        return max(0.5, r) if same else min(1.0, r + 0.15)
+    p, q = x["text"], y["text"]
+    if x["kind"] == "shape" and (not p or not q):
+        return 0.45 if same else (0.05 if p == q else 0.0)
+    bonus = x["bonus"] if same else 0.0
+    n = len(p) + len(q)
+    if n and (2.0 * min(len(p), len(q)) / n + bonus < floor or 2.0 * sum((letters_x & letters_y).values()) / n + bonus < floor):
+        return None
+    return min(1.0, _ratio(p, q) + bonus)
+
+
 @F.pandas_udf(T.ArrayType(EDGE))
 def tile_edges(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similar pairs inside one bounded tile of a replace slice.
+    """Similar pairs inside one bounded tile of a replace slice; only items of one kind come together.
 
-    Items carry ``k`` (index in slice), ``text``, ``ctx`` (heading path) and ``kind``, of which only equal kinds
-    meet.  ``bonus`` and ``cut`` come per item.  Two upper bounds of the ratio (length, letter multiset) are
-    tried before the exact value; both are safe because matched characters can exceed neither.
+    Items carry ``k`` (index in slice), ``kind``, ``text`` or ``rows``, ``ctx`` (heading path), ``bonus`` (for the
+    same path) and ``cut`` (threshold at their own length; longer texts have lower ones, so the smaller counts).
+    Length and letter bounds come before the exact ratio: matched characters can exceed neither.
     """
     out = []
     for left, right in zip(a, b):
         edges = []
-        rights = [(r, Counter(r["text"])) for r in right]
+        rights = [(y, Counter(y["text"] or "")) for y in right]
         for x in left:
-            letters = Counter(x["text"])
+            letters = Counter(x["text"] or "")
             for y, other in rights:
-                if x["kind"] != y["kind"]:
-                    continue
-                n = len(x["text"]) + len(y["text"])
-                same = x["ctx"] == y["ctx"]
-                fixed = x["fixed"] if x["fixed"] is not None else y["fixed"]
                 cut = min(x["cut"], y["cut"])
-                if x["kind"] == "shape" and (not x["text"] or not y["text"]):
-                    sim = 0.45 if same else (0.05 if not x["text"] and not y["text"] else 0.0)
-                elif fixed is not None:
-                    sim = fixed
-                else:
-                    bonus = x["bonus"] if same else 0.0
-                    floor = cut - bonus - 1e-9
-                    if n and 2.0 * min(len(x["text"]), len(y["text"])) / n < floor:
-                        continue
-                    if n and 2.0 * sum((letters & other).values()) / n < floor:
-                        continue
-                    sim = min(1.0, _ratio(x["text"], y["text"]) + bonus)
-                if sim >= cut:
+                sim = _similarity(x, y, cut - 1e-9, letters, other)
+                if sim is not None and sim >= cut:
                     edges.append({"ki": int(x["k"]), "kj": int(y["k"]), "sim": float(sim)})
         out.append(edges)
     return pd.Series(out)

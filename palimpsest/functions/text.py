@@ -81,7 +81,11 @@ def tokenize(s: Column) -> Column:
 
 
 def detokenize(tokens: Column) -> Column:
-    return F.regexp_replace(F.array_join(tokens, " "), " (?=[,;]( |$))", "")
+    """Words joined by spaces; commas and semicolons stick to the word before and are set off from the next by two
+    spaces, as the compared reports show them.  Tokens come from the word-diff form, where both stand alone.
+    """
+    glued = F.regexp_replace(F.array_join(tokens, " "), " ([,;])", "$1")
+    return F.trim(F.regexp_replace(glued, "([,;]) ", "$1  "))
 
 
 # Tokens that follow without a space, and the token after which none comes.
@@ -95,16 +99,15 @@ def needs_space_before(last_token: Column, token: Column) -> Column:
                       F.lit(False))
 
 
-CHAPTER = "(?s)^(\\d+(?:\\.\\d+)*)\\s+(.*)"
+CHAPTER = "(?s)^(\\d+(?:\\.\\d+)*)\\s+(.*)$"
 
 
 def chapter_number(normalized: Column) -> Column:
-    return F.regexp_extract(F.lower(normalized), CHAPTER, 1)
+    return F.regexp_extract(normalized, CHAPTER, 1)
 
 
 def heading_body(normalized: Column) -> Column:
-    low = F.lower(normalized)
-    return F.when(low.rlike(CHAPTER), F.trim(F.regexp_extract(low, CHAPTER, 2))).otherwise(low)
+    return F.trim(F.regexp_replace(F.lower(normalized), CHAPTER, "$2"))
 
 
 def path_bodies(ctx: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.kernels import list_opcodes
-from palimpsest.operators.scan import Run, following, previous, scan
+from palimpsest.operators.scan import DEFAULT_CHUNK, Run, previous, scan
 from palimpsest.session import cut_lineage
 
 MAX_ITEMS = 20_000
@@ -145,7 +145,8 @@ def _large_blocks(items, sizes, keys, max_items, max_matches) -> DataFrame:
     return done
 
 
-def _place(items: DataFrame, done: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+def _place(items: DataFrame, done: DataFrame, sizes: DataFrame, keys: list[str],
+           chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Give every open position its interval: the gap behind the last accepted block, up to the next one."""
     marks = done.select(*keys, F.lit("A").alias("side"), F.col("i").alias("idx"), "n",
                         F.col("i").alias("name")).unionByName(
@@ -154,8 +155,8 @@ def _place(items: DataFrame, done: DataFrame, sizes: DataFrame, keys: list[str])
     rows = items.select(*keys, "side", "idx", "key", nothing.cast("int").alias("n"), nothing.cast("int").alias("name"))
     both = rows.unionByName(marks.select(*keys, "side", "idx", nothing.cast("string").alias("key"), "n", "name"))
     mark = F.when(F.col("name").isNotNull(), F.struct("name", (F.col("idx") + F.col("n")).alias("end"), "idx"))
-    both = scan(both, [*keys, "side"], "idx", {"_back": Run("last", mark)}, tie=["name"])
-    both = scan(both, [*keys, "side"], "idx", {"_next": Run("last", mark, exclusive=True)}, tie=["name"], reverse=True)
+    both = scan(both, [*keys, "side"], "idx", {"_back": Run("last", mark)}, tie=["name"], chunk=chunk)
+    both = scan(both, [*keys, "side"], "idx", {"_next": Run("last", mark, exclusive=True)}, tie=["name"], reverse=True, chunk=chunk)
     # a mark sits on the position it starts at: nulls sort first, so the reverse scan meets it after that position
     end = F.when(F.col("side") == "A", F.col("na")).otherwise(F.col("nb"))
     out = both.filter(F.col("name").isNull()).join(sizes, keys).select(
@@ -167,7 +168,8 @@ def _place(items: DataFrame, done: DataFrame, sizes: DataFrame, keys: list[str])
     return out.join(covered, [*keys, "side", "idx"], "left_anti").drop("_from")
 
 
-def _longest_runs(placed: DataFrame, ranks: DataFrame, levels: int, keys: list[str]) -> DataFrame:
+def _longest_runs(placed: DataFrame, ranks: DataFrame, levels: int, keys: list[str],
+                  chunk: int = DEFAULT_CHUNK) -> DataFrame:
     by = [*keys, "iv"]
     here = [*keys, "side", "idx"]
     spots = placed.select(*here, "iv", "hi")
@@ -189,9 +191,9 @@ def _longest_runs(placed: DataFrame, ranks: DataFrame, levels: int, keys: list[s
     n = F.col("n")
     boxes = scan(boxes, by, "imin", {
         "pi": Run("max", F.col("imax") + n, exclusive=True), "pj": Run("max", F.col("jmax") + n, exclusive=True),
-        "seen": Run("count", F.lit(1), exclusive=True)})
+        "seen": Run("count", F.lit(1), exclusive=True)}, chunk=chunk)
     boxes = scan(boxes, by, "imin", {"ni": Run("min", F.col("imin"), exclusive=True),
-                                     "nj": Run("min", F.col("jmin"), exclusive=True)}, reverse=True)
+                                     "nj": Run("min", F.col("jmin"), exclusive=True)}, reverse=True, chunk=chunk)
     lonely = ((F.col("ca") == 1) & (F.col("cb") == 1)
               & F.coalesce(F.col("pi") <= F.col("imin"), F.lit(True))
               & F.coalesce(F.col("pj") <= F.col("jmin"), F.lit(True))
@@ -201,18 +203,19 @@ def _longest_runs(placed: DataFrame, ranks: DataFrame, levels: int, keys: list[s
         *keys, F.col("imin").cast("int").alias("i"), F.col("jmin").cast("int").alias("j"), n.cast("int").alias("n"))
 
 
-def blocks_to_opcodes(blocks: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+def blocks_to_opcodes(blocks: DataFrame, sizes: DataFrame, keys: list[str],
+                      chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Opcodes from matching blocks; ``sizes`` gives ``na`` and ``nb`` per group."""
     end = sizes.select(*keys, F.col("na").cast("int").alias("i"), F.col("nb").cast("int").alias("j"),
                        F.lit(0).alias("n"), F.lit(True).alias("last"))
     b = blocks.select(*keys, "i", "j", "n", F.lit(False).alias("last")).unionByName(end)
     order = ["last", "j"]
     b = previous(b, keys, "i", "p", F.struct((F.col("i") + F.col("n")).alias("i"), (F.col("j") + F.col("n")).alias("j")),
-                 tie=order)
+                 tie=order, chunk=chunk)
     pi, pj = F.coalesce("p.i", F.lit(0)), F.coalesce("p.j", F.lit(0))
     b = b.withColumn("pi", pi).withColumn("pj", pj)
     fresh = (F.col("pi") != F.col("i")) | (F.col("pj") != F.col("j")) | F.col("p").isNull()
-    b = scan(b, keys, "i", {"island": Run("sum", fresh.cast("long"))}, tie=order)
+    b = scan(b, keys, "i", {"island": Run("sum", fresh.cast("long"))}, tie=order, chunk=chunk)
     gap_tag = F.when((F.col("pi") < F.col("i")) & (F.col("pj") < F.col("j")), "replace").when(
         F.col("pi") < F.col("i"), "delete").otherwise("insert")
     gaps = b.filter((F.col("pi") < F.col("i")) | (F.col("pj") < F.col("j"))).select(
@@ -224,4 +227,3 @@ def blocks_to_opcodes(blocks: DataFrame, sizes: DataFrame, keys: list[str]) -> D
     return gaps.unionByName(runs.select(*keys, F.lit("equal").alias("tag"), "i1", "i2", "j1", "j2"))
 
 
-__all__ = ["opcodes", "blocks_to_opcodes", "following", "MAX_ITEMS", "MAX_MATCHES"]

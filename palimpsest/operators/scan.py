@@ -1,9 +1,11 @@
-"""Running state over ordered rows, without putting a whole group into one task.
-
-A plain ``Window.partitionBy(doc).orderBy(pos)`` sends every row of a document to one task, so a document
-that holds a third of all rows becomes the straggler.  ``scan`` splits each group into chunks of
-consecutive positions, aggregates each chunk (with map-side combine), runs the window over the chunk
-summaries only (one row per ``chunk`` positions), and adds the carried-in state to a window *inside* each chunk.
+"""Running state over ordered rows, without putting an unbounded group into one task.
+
+A plain ``Window.partitionBy(doc).orderBy(pos)`` sends every row of a document to one task.  That is the best plan while
+groups are bounded: consecutive steps share one exchange and one sort.  A document that holds a third of all rows
+would become the straggler, so group sizes are counted first (``chunk_for``, keys only).  If some group is larger
+than ``PLAIN_LIMIT`` rows, ``scan`` splits groups into chunks of consecutive positions, aggregates each chunk (map-side
+combined), runs the window over the chunk summaries only, and adds the carried-in state to a window *inside*
+each chunk.  Both ways give the same values.
 """
 
 from __future__ import annotations
@@ -14,7 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.session import cut_lineage
+
 DEFAULT_CHUNK = 4096
+PLAIN_LIMIT = 2_000_000
+AUTO = -1
+PLAIN = None
+
+
+def chunk_for(df: DataFrame, keys: list[str], limit: int | None = None) -> int | None:
+    """``PLAIN`` if every group has at most ``limit`` rows, else the chunk length; reads the key columns once."""
+    limit = PLAIN_LIMIT if limit is None else limit
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    return PLAIN if big.isEmpty() else DEFAULT_CHUNK
 
 
 @dataclass(frozen=True)
@@ -53,13 +67,26 @@ def scan(
     runs: dict[str, Run],
     tie: list[str] | None = None,
     reverse: bool = False,
-    chunk: int = DEFAULT_CHUNK,
+    chunk: int | None = AUTO,
 ) -> DataFrame:
     """Add one column per entry of ``runs``, computed over ``keys`` in order of ``(position, *tie)``.
 
     ``position`` is a non-negative whole number; it need not be dense.  ``reverse`` scans from the end.
+    ``chunk`` is ``PLAIN``, a chunk length, or ``AUTO`` to count the groups first; pipelines count once and pass it on.
     """
     tie = tie or []
+    if chunk == AUTO:
+        chunk = chunk_for(df, keys)
+    if chunk is PLAIN:
+        w = W.partitionBy(*keys).orderBy(*[F.col(c).desc() if reverse else F.col(c).asc() for c in [position, *tie]])
+        out = []
+        for name, run in runs.items():
+            value = F.when(run.value.isNotNull(), 1).otherwise(0) if run.kind == "count" else run.value
+            v = _over(run, value, w.rowsBetween(W.unboundedPreceding, -1 if run.exclusive else 0))
+            out.append((F.coalesce(v, F.lit(0)) if run.kind in ("sum", "count") else v).alias(name))
+        return df.select("*", *out)
+    # both branches below read the rows once computed
+    df = cut_lineage(df)
     work = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk)).cast("long"))
     for name, run in runs.items():
         value = F.when(run.value.isNotNull(), 1).otherwise(0) if run.kind == "count" else run.value
@@ -98,18 +125,18 @@ def scan(
 
 
 def number_rows(df: DataFrame, keys: list[str], position: str, out: str, tie: list[str] | None = None,
-                chunk: int = DEFAULT_CHUNK) -> DataFrame:
+                chunk: int | None = AUTO) -> DataFrame:
     """Zero-based row number over ``keys`` in order of ``(position, *tie)``."""
     return scan(df, keys, position, {out: Run("count", F.lit(1), exclusive=True)}, tie=tie, chunk=chunk)
 
 
 def previous(df: DataFrame, keys: list[str], position: str, out: str, value: Column, tie: list[str] | None = None,
-             chunk: int = DEFAULT_CHUNK) -> DataFrame:
+             chunk: int | None = AUTO) -> DataFrame:
     """``lag(value, 1)``; wrap nullable values in a struct so that a null row is not skipped."""
     return scan(df, keys, position, {out: Run("last", value, exclusive=True)}, tie=tie, chunk=chunk)
 
 
 def following(df: DataFrame, keys: list[str], position: str, out: str, value: Column, tie: list[str] | None = None,
-              chunk: int = DEFAULT_CHUNK) -> DataFrame:
+              chunk: int | None = AUTO) -> DataFrame:
     """``lead(value, 1)``; wrap nullable values in a struct so that a null row is not skipped."""
     return scan(df, keys, position, {out: Run("last", value, exclusive=True)}, tie=tie, reverse=True, chunk=chunk)

@@ -80,7 +80,7 @@ def outline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = h1.unionByName(h2).unionByName(h3).unionByName(pc).unionByName(ps)
     nodes = nodes.withColumn("_pos", (F.col("nat") + 1) * 1_000_000 + F.greatest(F.col("key"), F.lit(0)))
     nodes = number_rows(nodes.drop("_pos").withColumn("_nat", F.col("nat") + 1), ["pair_id"], "_nat", "ord",
-                        tie=["seg", "rank", "key"], chunk=1)
+                        tie=["seg", "rank", "key"])
     return nodes.select(F.col("pair_id").cast("long"), F.col("ord").cast("int"), "type", "level", "text")
 
 
@@ -112,7 +112,7 @@ def _numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("ok"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_shipdate", "l_returnflag", "l_linestatus")
     li = number_rows(li, ["ok"], "l_linenumber", "rn",
-                     tie=["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"], chunk=1)
+                     tie=["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"])
     return li.select("ok", (F.col("rn") + 1).cast("int").alias("r"), "l_partkey", "l_suppkey",
                      F.floor("l_quantity").cast("bigint").alias("qty"),
                      F.floor("l_extendedprice").cast("bigint").alias("price"), "l_returnflag", "l_linestatus")
