@@ -15,6 +15,8 @@ from palimpsest.operators import structure as st
 from palimpsest.operators import tables as tb
 from palimpsest.plans import compare as cp
 from palimpsest.plans import fixtures as fx
+from palimpsest.operators.scan import chunk_for
+from palimpsest.session import cut_lineage, spread
 
 PAIR = ["pair_id"]
 
@@ -26,7 +28,9 @@ def line_items(spark, sf):
     kept = lines.withColumn("norm", norm_for_signature(F.col("line"))).filter("norm <> ''")
     kept = kept.select("pair_id", "side", F.col("pos").alias("ord"), F.lit("").alias("uid"), "line", "norm",
                        F.concat(F.lit("paragraph|"), sig).alias("key"))
-    return st.number_blocks(kept, ["pair_id", "side"])
+    chunk = chunk_for(lines, ["pair_id", "side"])
+    # three readers follow: group sizes, gathered groups and the large path
+    return cut_lineage(st.number_blocks(kept, ["pair_id", "side"], chunk).select("pair_id", "side", "idx", "ord", "key"))
 
 
 @query("j1_fingerprint_matches", S.with_(S.LINES, S.LINE_BLOCKS) + """
@@ -71,6 +75,7 @@ def edited_ratios(spark, sf):
     a = fx.line_versions(spark, sf).filter("side = 'A'")
     edited = F.concat(F.lit("edited "), F.regexp_replace("line", "e ", "es "))
     a = a.select("pair_id", "pos", "line", edited.alias("other"))
+    a = spread(a, "pair_id", "pos")
     return a.select("pair_id", "pos", F.round(gestalt_ratio("line", "other"), 9).alias("ratio"))
 
 
@@ -125,9 +130,8 @@ def opcode_order(spark, sf):
 
 
 @query("o2_sequence_index", S.with_(S.LINES, S.LINE_BLOCKS, S.align_sql("lblk", PAIR, "q"), recursive=True) + """
-select pair_id, tag, cast(i1 + k as bigint) * 100000 as seq, 0 as at from qops, range(200) r(k) where tag = 'delete' and k < i2 - i1
-union all select pair_id, tag, cast(i1 as bigint) * 100000 - 50000 + k, j1 + k from qops, range(200) r(k)
- where tag = 'insert' and k < j2 - j1""")
+select pair_id, tag, cast(i1 + k as bigint) * 100000 as seq, 0 as at from (select *, unnest(range(i2 - i1)) as k from qops where tag = 'delete')
+union all select pair_id, tag, cast(i1 as bigint) * 100000 - 50000 + k, j1 + k from (select *, unnest(range(j2 - j1)) as k from qops where tag = 'insert')""")
 def sequence_index(spark, sf):
     from palimpsest.operators.report import touched
     ops = align.opcodes(line_items(spark, sf), PAIR).filter(F.col("tag").isin("delete", "insert"))

@@ -8,6 +8,7 @@ from palimpsest.catalog import query
 from palimpsest.catalog import sqlparts as S
 from palimpsest.operators import wording as w
 from palimpsest.plans import fixtures as fx
+from palimpsest.session import spread
 
 SPAN_TEXT = "array_join(transform(spans, s -> concat_ws('~', s.type, s.side, s.old_text, s.new_text, s.space_before)), '¦')"
 
@@ -17,6 +18,7 @@ def edited_lines(spark, sf):
     a = fx.line_versions(spark, sf).filter("side = 'A'").select("pair_id", "pos", "line")
     e = F.regexp_replace("line", "([aeiou]) ([a-m])", "$1 x $2")
     e = F.when(F.col("pos") % 3 == 0, F.regexp_replace(e, ", ", " ;")).otherwise(e)
+    a = spread(a, "pair_id", "pos")  # word alignment costs far more than its bytes
     return a.select("pair_id", "pos", "line", F.when(F.col("pos") % 7 == 6, F.col("line")).otherwise(e).alias("other"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import unicodedata
 from collections import Counter
 
@@ -30,6 +31,12 @@ def compose(text: Column) -> Column:
 SMALL = 40_000
 
 
+@functools.lru_cache(maxsize=50_000)
+def _remembered(a: str, b: str) -> float:
+    """Ratios of short texts; column titles come back for table after table."""
+    return _ratio(a, b)
+
+
 def _matched(a: str, b: str) -> int:
     """Matched characters of long texts: the longest common run, then both sides of it, and so on.
 
@@ -79,7 +86,8 @@ def _ratio(a, b) -> float:
 @F.pandas_udf(T.DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2M/(|a|+|b|) over characters; null in, null out."""
-    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else _remembered(x, y) if len(x) + len(y) < 200 else _ratio(x, y)
+                      for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())

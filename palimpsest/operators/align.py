@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.kernels import list_opcodes
 from palimpsest.operators.scan import DEFAULT_CHUNK, Run, previous, scan
-from palimpsest.session import cut_lineage
+from palimpsest.session import cut_lineage, spread
 
 MAX_ITEMS = 20_000
 MAX_MATCHES = 2_000_000
@@ -46,7 +46,7 @@ def _gather(items: DataFrame, keys: list[str]) -> DataFrame:
     def first(side):
         return F.min(F.when(F.col("side") == side, F.col("idx")))
 
-    return items.groupBy(*keys).agg(ordered("A").alias("a"), ordered("B").alias("b"),
+    return spread(items, *keys).groupBy(*keys).agg(ordered("A").alias("a"), ordered("B").alias("b"),
                                     F.coalesce(first("A"), F.lit(0)).alias("a0"),
                                     F.coalesce(first("B"), F.lit(0)).alias("b0"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.kernels import tile_edges
 from palimpsest.operators.scan import DEFAULT_CHUNK, PLAIN, PLAIN_LIMIT, Run, scan
-from palimpsest.session import cut_lineage
+from palimpsest.session import cut_lineage, spread
 
 # Similarity needed to pair two blocks.
 THRESHOLDS = {"heading": 0.72, "shape": 0.80, "table": 0.82, "other": 0.75}
@@ -118,7 +118,7 @@ def slice_items(ops: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame
     return spots.join(blocks, [*keys, "side", "idx"])
 
 
-def slice_edges(items: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+def slice_edges(items: DataFrame, keys: list[str], tile: int = TILE, cut: Column | None = None) -> DataFrame:
     """Pairs of one kind whose similarity reaches the threshold.
 
     A slice is cut into tiles of at most ``tile`` by ``tile`` blocks, so a huge slice spreads over many tasks and
@@ -129,14 +129,15 @@ def slice_edges(items: DataFrame, keys: list[str], tile: int = TILE) -> DataFram
     bonus = F.when(F.col("type") == "shape", SAME_HEADING_BONUS["shape"]).otherwise(SAME_HEADING_BONUS["text"])
     rows = F.col("row_sigs") if "row_sigs" in items.columns else F.lit(None).cast("array<string>")
     item = F.struct("k", F.col("type").alias("kind"), F.col("norm").alias("text"), rows.alias("rows"),
-                    F.col("heading_ctx").alias("ctx"), bonus.alias("bonus"), threshold(F.col("type"), length).alias("cut"))
+                    F.col("heading_ctx").alias("ctx"), bonus.alias("bonus"), (threshold(F.col("type"), length) if cut is None else cut).alias("cut"))
     other = F.when(F.col("side") == "A", F.col("j2") - F.col("j1")).otherwise(F.col("i2") - F.col("i1"))
     mine = F.floor(F.col("k") / tile).cast("int")
     work = items.select(*group, "type", "side", item.alias("item"), mine.alias("mine"), F.explode(
         F.sequence(F.lit(0), F.floor((other - 1) / tile).cast("int"))).alias("theirs"))
     left = F.when(F.col("side") == "A", F.col("mine")).otherwise(F.col("theirs"))
     right = F.when(F.col("side") == "A", F.col("theirs")).otherwise(F.col("mine"))
-    tiles = work.withColumn("ta", left).withColumn("tb", right).groupBy(*group, "type", "ta", "tb").agg(
+    work = spread(work.withColumn("ta", left).withColumn("tb", right), *group, "type", "ta", "tb")
+    tiles = work.groupBy(*group, "type", "ta", "tb").agg(
         F.collect_list(F.when(F.col("side") == "A", F.col("item"))).alias("a"),
         F.collect_list(F.when(F.col("side") == "B", F.col("item"))).alias("b"))
     tiles = tiles.filter((F.size("a") > 0) & (F.size("b") > 0))

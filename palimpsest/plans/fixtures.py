@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.scan import number_rows
+from palimpsest.session import spread
 
 SEED_MUL, SEED_POS, SEED_MOD = 7, 3, 17
 
@@ -21,9 +22,11 @@ def edit_class(pair, pos):
 def line_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(pair_id, side, pos, line)``: each document against an edited copy.
 
-    Both sides are built inside the row by array functions, so the scan needs no shuffle to number lines.
+    Both sides are built inside the row by array functions, so numbering the lines needs no shuffle.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.split("text", "\n").alias("a"))
+    # one exchange of whole documents; windows, groupings and gathers by pair (and side) below need no other
+    docs = spread(docs, "pair_id")
 
     def edited(line, i):
         h = edit_class(F.col("pair_id"), i)

@@ -46,3 +46,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result is read back from the shared folder, not from executor storage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's full number of shuffle partitions.
+
+    Used in front of kernels whose cost is not in the bytes: with an explicit number the adaptive planner does not fold
+    the partitions into few tasks, and a following groupBy on the same keys needs no further exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
