@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "prints", "outline", "trees", "grids", "matching", "wording", "tables", "media", "report", "jobs",
+MODULES = ["texts", "prints", "outline", "trees", "matching", "wording", "tables", "media", "report", "jobs",
            "intake"]
 
 QUERIES: dict = {}

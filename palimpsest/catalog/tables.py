@@ -112,7 +112,7 @@ ROWKEYS = S.CELLS + """, """ + NORM + """,
 rk as (select pair_id, side, anchor_row, array_to_string(list_sort(list(anchor_col || ':T:img0:txt' ||
    case when t = '' then '' else substr(md5(substr(t, 1, 80)), 1, 10) end)), '|') as row_key from nc group by all),
 rh as (select pair_id, side, anchor_row, md5(coalesce(nullif(string_agg(t, ' | ' order by anchor_col) filter (where t <> ''), ''),
-   '__empty_row_' || anchor_row || '__')) as row_hash from nc group by all)"""
+   '__empty_row_' || anchor_row || '__')) as row_hash from nc group by pair_id, side, anchor_row)"""
 
 
 @query("g11_row_keys", S.with_(ROWKEYS) + """select pair_id, side, md5(string_agg(row_key, ',' order by anchor_row)) as row_keys
@@ -363,13 +363,13 @@ def paired_rows(spark, sf):
 
 
 BY_ROW = S.with_(S.CELLS, NORM) + """, j as (select coalesce(a.pair_id, b.pair_id) as pair_id, coalesce(a.anchor_row, b.anchor_row)
-   as r, coalesce(a.anchor_col, b.anchor_col) as col, a.t as at, b.t as bt, a.col_span as asp, b.col_span as bsp
+   as r, coalesce(a.anchor_col, b.anchor_col) as col, a.t as xa, b.t as xb, a.col_span as asp, b.col_span as bsp
  from (select * from nc where side = 'A') a full join (select * from nc where side = 'B') b
    on a.pair_id = b.pair_id and a.anchor_row = b.anchor_row and a.anchor_col = b.anchor_col),
  rws as (select pair_id, anchor_row from nc group by all having count(distinct side) = 2),
- ch as (select j.pair_id, r, col, case when at is null then 'table_cell_added' when bt is null then 'table_cell_deleted'
-   when at <> bt then 'table_cell_modified' when asp <> bsp then 'table_cell_span_changed' end as type, coalesce(at, '') as lt,
-   coalesce(bt, '') as rt from j join rws on rws.pair_id = j.pair_id and rws.anchor_row = j.r)
+ ch as (select j.pair_id, r, col, case when xa is null then 'table_cell_added' when xb is null then 'table_cell_deleted'
+   when xa <> xb then 'table_cell_modified' when asp <> bsp then 'table_cell_span_changed' end as type, coalesce(xa, '') as lt,
+   coalesce(xb, '') as rt from j join rws on rws.pair_id = j.pair_id and rws.anchor_row = j.r)
 """
 
 

@@ -227,3 +227,18 @@ def blocks_to_opcodes(blocks: DataFrame, sizes: DataFrame, keys: list[str],
     return gaps.unionByName(runs.select(*keys, F.lit("equal").alias("tag"), "i1", "i2", "j1", "j2"))
 
 
+
+
+def positional_pairs(ops: DataFrame, keys: list[str]) -> DataFrame:
+    """Opcodes spelled out per element: ``(keys, kind, a, b, i1, j1, k)``.
+
+    Equal elements and the elements of replace slices pair by position (kinds ``equal`` and ``pair``); what is left over
+    on either side is a ``delete`` or an ``insert``.
+    """
+    na, nb = F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1")
+    rows = ops.select(*keys, "tag", "i1", "i2", "j1", "j2", F.explode(F.sequence(F.lit(0), F.greatest(na, nb) - 1)).alias("k"))
+    a = F.when(F.col("k") < na, F.col("i1") + F.col("k"))
+    b = F.when(F.col("k") < nb, F.col("j1") + F.col("k"))
+    kind = (F.when(F.col("tag") == "equal", "equal").when(a.isNotNull() & b.isNotNull(), "pair")
+            .when(a.isNotNull(), "delete").otherwise("insert"))
+    return rows.select(*keys, kind.alias("kind"), a.alias("a"), b.alias("b"), "i1", "j1", "k")

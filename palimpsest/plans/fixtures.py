@@ -207,5 +207,5 @@ def job_log_of(ev: DataFrame) -> DataFrame:
     status = (F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "processing")
               .when(F.col("event_type").isin("click", "purchase"), "done").otherwise("error"))
     return ev.select((F.col("event_id") % 5000).alias("job_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
-                     .alias("username"), "ts", "event_id", status.alias("status"),
+                     .alias("username"), F.col("ts").cast("timestamp").alias("ts"), "event_id", status.alias("status"),
                      (F.col("value") > 50).alias("files_deleted"))
