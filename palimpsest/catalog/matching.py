@@ -257,3 +257,12 @@ def best_candidate(spark, sf):
     """First maximum wins: one aggregate, no window."""
     return fx.line_versions(spark, sf).groupBy("pair_id", "side").agg(
         F.max_by("pos", F.struct(F.length("line"), -F.col("pos"))).alias("best_pos"))
+
+
+@query("j7_slice_candidates")
+def slice_candidates(spark, sf):
+    """Pairs above the threshold inside the replace slices of the edited documents."""
+    lines = fx.line_versions(spark, sf)
+    blocks = cut_lineage(st.build_text_blocks(cp.line_nodes(lines), ["pair_id", "side"]))
+    items = m.slice_items(align.opcodes(blocks, PAIR), blocks, PAIR)
+    return m.slice_edges(items, PAIR).select("pair_id", "i1", "j1", "ki", "kj", F.round("sim", 9).alias("sim"))

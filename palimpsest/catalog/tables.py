@@ -443,3 +443,70 @@ def one_sided(spark, sf):
 def table_changes(spark, sf):
     ch, _ = td.diff_tables(fx.order_cells(spark, sf), PAIR)
     return ch.select("pair_id", "type", "anchor_row", "n_cells", "left_text", "right_text")
+
+
+@query("o3_cell_order", S.with_(S.CELLS) + """select pair_id, side, md5(string_agg(anchor_row || ':' || anchor_col, ',' order by anchor_row,
+ anchor_col)) as cell_order from cells group by all""")
+def cell_order(spark, sf):
+    c = fx.order_cells(spark, sf).withColumn("_at", F.concat_ws(":", F.col("anchor_row").cast("string"), F.col("anchor_col").cast("string")))
+    return tb.per_table(c, BY, "_at", "cell_order")
+
+
+@query("b14_serialized_tables", S.with_(S.CELLS) + """, j as (select *, '{"anchor_row":' || anchor_row || ',"anchor_col":' || anchor_col ||
+  ',"row_span":' || row_span || ',"col_span":' || col_span || ',"text":"' || text || '"}' as j from cells),
+ w as (select pair_id, side, anchor_row, sum(col_span) as w from cells group by all),
+ z as (select pair_id, side, max(anchor_row) + 1 as rows, max(w) as cols from w group by all)
+select j.pair_id, j.side, md5('{"rows":' || z.rows || ',"cols":' || z.cols || ',"header":[' || string_agg(j, ',' order by anchor_row, anchor_col)
+ filter (where anchor_row = 0) || '],"cells":[' || string_agg(j, ',' order by anchor_row, anchor_col) || ']}') as json
+from j join z using (pair_id, side) group by j.pair_id, j.side, z.rows, z.cols""")
+def serialized(spark, sf):
+    return td.serialized(fx.order_cells(spark, sf), BY).select(*BY, F.md5("json").alias("json"))
+
+
+CELL_PARAS = S.with_(S.LINES, f"""
+cp as (select pair_id, side, pos as idx, {S.norm_text('line')} as key from lines)""", S.align_sql("cp", PAIR, "q"), """
+pc as (select pair_id, case when tag = 'equal' then 'paragraph_unchanged' when k < i2 - i1 and k < j2 - j1 then 'paragraph_modified'
+   when k < i2 - i1 then 'paragraph_deleted' else 'paragraph_inserted' end as type, case when k < i2 - i1 then i1 + k end as a,
+   case when k < j2 - j1 then j1 + k end as b from (select *, unnest(range(greatest(i2 - i1, j2 - j1))) as k from qops))""", recursive=True)
+
+
+def _cell_paragraphs(spark, sf):
+    """A document as one cell whose paragraphs are its lines."""
+    lines = cut_lineage(fx.line_versions(spark, sf).select("pair_id", "side", F.col("pos").alias("idx"), F.col("line").alias("text")))
+    return td.paragraph_changes(lines, PAIR)
+
+
+@query("b8_cell_paragraphs", CELL_PARAS + "select pair_id, type, cast(a as int) as a, cast(b as int) as b from pc")
+def cell_paragraphs(spark, sf):
+    return _cell_paragraphs(spark, sf)
+
+
+@query("b9_interleaved_changes", CELL_PARAS + """, al as (select pair_id, type, a * 2 as a_pos, b * 2 as b_pos, 0 as source from pc
+   union all select pair_id, case when a % 2 = 0 then 'image_modified' else 'image_equal' end, a * 2 + 1, b * 2 + 1, 1 from pc
+   where a % 5 = 0 and b is not null)
+select pair_id, cast(row_number() over (partition by pair_id order by coalesce(a_pos, b_pos), source, a_pos nulls first, b_pos nulls first) - 1 as int) as n,
+ type from al where type not like '%unchanged' and type not like '%equal'""")
+def interleaved(spark, sf):
+    p = _cell_paragraphs(spark, sf)
+    both = p.select("pair_id", "type", (F.col("a") * 2).alias("a_pos"), (F.col("b") * 2).alias("b_pos"), F.lit(0).alias("source"))
+    pics = p.filter("a % 5 = 0 and b is not null").select(
+        "pair_id", F.when(F.col("a") % 2 == 0, "image_modified").otherwise("image_equal").alias("type"), (F.col("a") * 2 + 1).alias("a_pos"),
+        (F.col("b") * 2 + 1).alias("b_pos"), F.lit(1).alias("source"))
+    return td.interleave(both.unionByName(pics), PAIR).select("pair_id", "n", "type")
+
+
+@query("b7_nested_cell_cases", S.with_(S.CELLS, NORM, """
+fr as (select pair_id, side, anchor_row, string_agg(t, ' ' order by anchor_col) filter (where t <> '') as rt from nc group by all),
+fl as (select pair_id, side, string_agg(rt, chr(10) order by anchor_row) as f from fr group by all)""") + """
+select a.pair_id, case when a.pair_id % 4 = 0 then case when a.f <> b.f then 'nested_table_modified' end
+ when a.pair_id % 4 = 1 then 'nested_table_to_text' when a.pair_id % 4 = 2 then 'text_to_nested_table'
+ when a.pair_id % 8 = 3 then 'text_modified' end as type
+from fl a join fl b on a.pair_id = b.pair_id and a.side = 'A' and b.side = 'B'""")
+def nested_cases(spark, sf):
+    """Order tables as nested tables of a cell, against each other or against plain text."""
+    flat = tb.flatten_text(fx.order_cells(spark, sf), BY)
+    f = flat.groupBy("pair_id").agg(F.max(F.when(F.col("side") == "A", F.col("flat"))).alias("fa"),
+                                    F.max(F.when(F.col("side") == "B", F.col("flat"))).alias("fb"))
+    k = F.col("pair_id") % 4
+    other = F.when(F.col("pair_id") % 8 == 3, "other").otherwise("words")
+    return f.select("pair_id", td.nested_case(k.isin(0, 1), k.isin(0, 2), F.col("fa"), F.col("fb"), F.lit("words"), other).alias("type"))

@@ -60,7 +60,7 @@ def dimensions(width: Column, height: Column) -> Column:
 
 def _text_parts(text: Column, numbering: Column, images: Column, normalized: bool) -> Column:
     first = F.array(_text_part(text if normalized else norm_for_signature(text)), numbering_key(numbering))
-    keys = F.transform(F.coalesce(images, F.array().cast(IMAGES)), image_key)
+    keys = F.coalesce(F.transform(images, image_key), F.array().cast("array<string>"))
     return _joined(F.concat(first, keys))
 
 
@@ -117,9 +117,9 @@ def _cell_image_key(img: Column) -> Column:
 
 
 def cell_item_key(item: Column) -> Column:
-    known = F.filter(F.coalesce(item["images"], F.array().cast(IMAGES)),
-                     lambda i: _filled(i["sha256"]).isNotNull() | _filled(i["uid"]).isNotNull())
-    parts = _joined(F.concat(F.array(_text_part(norm_for_signature(item["text"]))), F.transform(known, _cell_image_key)))
+    known = F.filter(item["images"], lambda i: _filled(i["sha256"]).isNotNull() | _filled(i["uid"]).isNotNull())
+    keys = F.coalesce(F.transform(known, _cell_image_key), F.array().cast("array<string>"))
+    parts = _joined(F.concat(F.array(_text_part(norm_for_signature(item["text"]))), keys))
     prefix = F.when(item["type"] == "shape", "SHP:").otherwise("P:")
     body = F.concat(prefix, F.replace(F.substring(F.md5(parts), 1, 16), F.lit(EMPTY_MD5[:16]),
                                       F.concat(F.lit("empty:"), F.coalesce(item["uid"], F.lit("")))))

@@ -267,3 +267,52 @@ def diff_tables(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     quiet = structure.filter("structure_changed").join(ch.select(*keys).distinct(), keys, "left_anti").select(*keys)
     shares = unchanged_share(row_states(rows.join(quiet, keys, "left_semi"), keys), keys)
     return ch, render_modes(ch, structure, shares, keys)
+
+
+# ---- inside cells -----------------------------------------------------------------------------------------------
+
+def paragraph_changes(paras: DataFrame, keys: list[str]) -> DataFrame:
+    """Paragraph lists of paired cells: ``(keys, type, a, b)``.
+
+    ``paras`` has ``keys, side, idx, text``.  Paragraphs align on their normalized texts; those of a replace slice pair by
+    position, and what is left over is deleted or inserted.
+    """
+    items = paras.select(*keys, "side", "idx", norm_text(F.col("text")).alias("key"))
+    p = align.positional_pairs(align.opcodes(items, keys), keys)
+    kind = (F.when(F.col("kind") == "equal", "paragraph_unchanged").when(F.col("kind") == "pair", "paragraph_modified")
+            .when(F.col("kind") == "delete", "paragraph_deleted").otherwise("paragraph_inserted"))
+    return p.select(*keys, kind.alias("type"), "a", "b")
+
+
+def interleave(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes of a cell in content order with equal ones left out: ``(keys, n, type)``.
+
+    ``changes`` has ``type, source`` (0 paragraph, 1 image) and the content positions ``a_pos`` and ``b_pos``; inserted items
+    stand at their right position, all others at their left one.
+    """
+    equal = F.col("type").endswith("_unchanged") | F.col("type").endswith("_equal")
+    c = changes.filter(~equal).withColumn("_at", F.coalesce("a_pos", "b_pos").cast("long"))
+    c = number_rows(c, keys, "_at", "n", tie=["source", "a_pos", "b_pos"])
+    return c.select(*keys, F.col("n").cast("int").alias("n"), "type", "a_pos", "b_pos")
+
+
+def nested_case(a_nested: Column, b_nested: Column, a_flat: Column, b_flat: Column, a_text: Column, b_text: Column) -> Column:
+    """What kind of change a cell with nested tables shows; null if its content is the same.
+
+    A nested table against text is compared flattened; two nested tables are a table pair of their own, one level down.
+    """
+    return (F.when(a_nested & b_nested, F.when(a_flat != b_flat, "nested_table_modified"))
+            .when(a_nested, F.when(a_flat != b_text, "nested_table_to_text"))
+            .when(b_nested, F.when(a_text != b_flat, "text_to_nested_table"))
+            .when(a_text != b_text, "text_modified"))
+
+
+def serialized(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One JSON per table: size, header cells and all cells by row and column."""
+    one = F.to_json(F.struct("anchor_row", "anchor_col", "row_span", "col_span", "text"))
+    c = cells.withColumn("_j", one)
+    body = c.groupBy(*keys).agg(tb.joined("_j", ["anchor_row", "anchor_col"], ",").alias("_cells"),
+                                tb.joined("_j", ["anchor_row", "anchor_col"], ",", F.col("anchor_row") == 0).alias("_head"))
+    j = body.join(tb.table_sizes(cells, keys), keys)
+    return j.select(*keys, F.concat(F.lit('{"rows":'), F.col("rows").cast("string"), F.lit(',"cols":'), F.col("cols").cast("string"),
+                                    F.lit(',"header":['), "_head", F.lit('],"cells":['), "_cells", F.lit("]}")).alias("json"))

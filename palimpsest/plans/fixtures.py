@@ -209,3 +209,49 @@ def job_log_of(ev: DataFrame) -> DataFrame:
     return ev.select((F.col("event_id") % 5000).alias("job_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
                      .alias("username"), F.col("ts").cast("timestamp").alias("ts"), "event_id", status.alias("status"),
                      (F.col("value") > 50).alias("files_deleted"))
+
+
+def customer_documents(spark: SparkSession, sf_dir: str):
+    """Whole documents of both sides: a customer's orders, each with a heading, a paragraph, a table, an image and, for every
+    fourth, a text box.  Returns nodes, cells, shape children and perceptual hashes.
+    """
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pair_id"), F.col("o_orderkey").alias("ok"),
+                                                   "o_orderpriority", "o_orderstatus")
+    o = number_rows(orders, ["pair_id"], "ok", "n")
+    ok, n = F.col("ok"), F.col("n")
+    h = (ok * SEED_MUL) % SEED_MOD
+    b = F.col("side") == "B"
+    image = "struct<uid:string,ord:int,sha256:string,name:string,width_emu:bigint,height_emu:bigint>"
+
+    def uid(letter):
+        return F.concat(F.lit(letter), F.lpad(ok.cast("string"), 12, "0"))
+
+    def node(slot, kind, letter, level, text, img=None):
+        at = (n * 8 + slot).cast("int")
+        pics = F.lit(None).cast(f"array<{image}>") if img is None else F.array(
+            F.struct(uid("i"), at, img, F.lit("pic"), F.lit(9525).cast("bigint"), F.lit(9525).cast("bigint")).cast(image))
+        return F.struct(at.alias("ord"), F.lit(kind).alias("type"), uid(letter).alias("uid"), F.lit(level).cast("int").alias("level"),
+                        text.cast("string").alias("text"), pics.alias("images"))
+
+    sha = F.sha2((ok % 200 + F.when(b & (ok % 5 == 0), 1000).otherwise(0)).cast("string").cast("binary"), 256)
+    words = F.concat_ws(" ", F.lit("Order"), ok.cast("string"), F.lit("has priority"), "o_orderpriority", F.lit(", state"), "o_orderstatus")
+    para = F.when(b & (h == 5), F.concat(F.lit("edited "), words)).when(b & (h == 8), F.lit("nothing in common")).otherwise(words)
+    none = F.lit(None).cast("string")
+    both = o.withColumn("side", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    slots = F.array(
+        node(0, "heading", "h", 1, F.when(b & (ok % 6 == 0), F.concat(F.lit("9."), ok.cast("string"), F.lit(" Order"))).otherwise(
+            F.concat(F.lit("1."), ok.cast("string"), F.lit(" Order")))),
+        F.when(~(b & (h == 3)), node(1, "paragraph", "p", None, para)),
+        F.when(~(b & (h == 11)), node(2, "table", "t", None, none)),
+        node(3, "paragraph", "q", None, F.lit(""), sha),
+        F.when(ok % 4 == 0, node(4, "shape", "s", None, none)))
+    nodes = both.select("pair_id", "side", F.explode(F.array_compact(slots)).alias("v")).select("pair_id", "side", "v.*")
+    cells = order_cells(spark, sf_dir).withColumnRenamed("pair_id", "ok").drop("table_uid").join(
+        orders.select("pair_id", "ok"), "ok").select("pair_id", "side", uid("t").alias("table_uid"), "anchor_row", "anchor_col",
+                                                     "row_span", "col_span", "text")
+    child = F.array(*[F.struct(F.lit(k).alias("ord"), F.concat(uid("s"), F.lit(f".p{k}")).alias("uid"), F.lit("paragraph").alias("type"),
+                               t.alias("text"), none.alias("sha256"))
+                      for k, t in enumerate([F.lit("Box"), F.when(b & (ok % 8 == 0), "other words").otherwise("same words")])])
+    children = both.filter(ok % 4 == 0).select("pair_id", "side", uid("s").alias("shape_uid"), F.explode(child).alias("c")).select(
+        "pair_id", "side", "shape_uid", "c.*")
+    return nodes, cells, children
