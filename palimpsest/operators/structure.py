@@ -234,7 +234,7 @@ def contents_field_rows(events: DataFrame, keys: list[str], chunk: int | None =
     rows = scan(rows, keys, "_e", {**opens, **closes}, chunk=chunk)
     live = F.lit(False)
     for d in range(1, DEEPEST_HEADING + 1):
-        live = live | (F.col(f"_o{d}") > F.coalesce(F.col(f"_k{d}"), F.lit(-1)))
+        live = live | F.coalesce(F.col(f"_o{d}") > F.coalesce(F.col(f"_k{d}"), F.lit(-1)), F.lit(False))
     return rows.withColumn("_live", live).groupBy(*keys, "pos").agg(F.max_by("_live", "_e").alias("in_toc"))
 
 
