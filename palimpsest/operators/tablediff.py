@@ -27,9 +27,14 @@ ROW_RATIO = 0.55
 LAYOUT_SHARE = 0.8
 
 
+def normalized(cells: DataFrame) -> Column:
+    """The normalized text of a cell: column ``norm`` where it has been computed already."""
+    return F.col("norm") if "norm" in cells.columns else norm_text(F.col("text"))
+
+
 def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Up to three leading rows before the first blank row or the first row with real numbers; at least one."""
-    t = norm_text(F.col("text"))
+    t = normalized(cells)
     number = t.rlike("\\d{2,}") & ~t.rlike("^\\d{1,3}$")
     r = cells.withColumn("_b", t == "").withColumn("_n", number).groupBy(*keys, "anchor_row").agg(
         (F.min("_b") | F.max("_n")).alias("_stop"))
@@ -43,7 +48,7 @@ def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def header_texts(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Title of every column: distinct header texts from top to bottom; a spanning cell titles all its columns."""
-    t = norm_text(F.col("text"))
+    t = normalized(cells)
     h = cells.join(header_rows(cells, keys), [*keys, "anchor_row"]).withColumn("_t", t).filter("_t <> ''")
     h = h.withColumn("col", F.explode(F.sequence("anchor_col", F.col("anchor_col") + F.col("col_span") - 1)))
     first = h.groupBy(*keys, "col", "_t").agg(F.min(F.struct("anchor_row", "anchor_col")).alias("_at"))
@@ -51,24 +56,38 @@ def header_texts(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def header_map(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, a_col, b_col)``: mapped columns, and columns of one side only with a null on the other."""
-    titles = cut_lineage(header_texts(cells, [*keys, "side"]))
-    a = titles.filter("side = 'A'").select(*keys, F.col("col").alias("ki"), F.col("title").alias("at"))
-    b = titles.filter("side = 'B'").select(*keys, F.col("col").alias("kj"), F.col("title").alias("bt"))
-    both = titles.groupBy(*keys).agg(F.countDistinct("side").alias("n")).filter("n = 2").select(*keys)
-    la, lb = F.length("at"), F.length("bt")
+    """``(keys, a_col, b_col)``: mapped columns, and columns of one side only with a null on the other.
+
+    Headers come back for table after table, so columns are matched once per distinct pair of headers and the result is
+    joined back; the planner broadcasts the distinct ones only if they are small, and splits hot ones otherwise.
+    """
+    titles = header_texts(cells, [*keys, "side"])
+
+    def side(name):
+        return F.sort_array(F.collect_list(F.when(F.col("side") == name, F.struct("col", "title"))))
+
+    pairs = titles.groupBy(*keys).agg(side("A").alias("at"), side("B").alias("bt")).filter((F.size("at") > 0) & (F.size("bt") > 0))
+    pairs = cut_lineage(pairs.withColumn("heads", F.md5(F.to_json(F.struct("at", "bt")))))
+    heads = cut_lineage(pairs.groupBy("heads").agg(F.first("at").alias("at"), F.first("bt").alias("bt")))
+    cand = heads.select("heads", F.explode("at").alias("x"), "bt").select("heads", "x", F.explode("bt").alias("y"))
+    la, lb = F.length("x.title"), F.length("y.title")
     cut = F.when(F.least(la, lb) < SHORT_HEADER, SHORT_HEADER_RATIO).otherwise(HEADER_RATIO)
-    # columns of one table pair only: their number is bounded by the width of a page
-    cand = a.join(b, keys).withColumn("cut", cut).filter(2.0 * F.least(la, lb) / (la + lb) >= F.col("cut"))
-    differ = F.col("at") != F.col("bt")
-    ratio = F.coalesce(gestalt_ratio(F.when(differ, F.col("at")), F.when(differ, F.col("bt"))), F.lit(1.0))
+    cand = cand.withColumn("cut", cut).filter(2.0 * F.least(la, lb) / (la + lb) >= F.col("cut"))
+    differ = F.col("x.title") != F.col("y.title")
+    ratio = F.coalesce(gestalt_ratio(F.when(differ, F.col("x.title")), F.when(differ, F.col("y.title"))), F.lit(1.0))
     edges = cand.withColumn("_r", -ratio).filter(-F.col("_r") >= F.col("cut"))
-    picks = cut_lineage(matching.greedy_picks(edges.select(*keys, F.col("ki").cast("int"), F.col("kj").cast("int"), "_r"),
-                                              keys, ["_r"]))
-    only_a = a.join(both, keys).join(picks, [*keys, "ki"], "left_anti").select(*keys, "ki", F.lit(None).cast("int").alias("kj"))
-    only_b = b.join(both, keys).join(picks, [*keys, "kj"], "left_anti").select(*keys, F.lit(None).cast("int").alias("ki"), "kj")
-    return picks.select(*keys, "ki", "kj").unionByName(only_a).unionByName(only_b).withColumnsRenamed(
-        {"ki": "a_col", "kj": "b_col"})
+    picks = matching.greedy_picks(edges.select("heads", F.col("x.col").cast("int").alias("ki"), F.col("y.col").cast("int").alias("kj"), "_r"),
+                                  ["heads"], ["_r"])
+    picks = picks.groupBy("heads").agg(F.collect_list(F.struct(F.col("ki").alias("a_col"), F.col("kj").alias("b_col"))).alias("m"))
+    known = heads.join(picks, "heads", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<a_col:int,b_col:int>>")))
+
+    def alone(titles_, mapped, as_a):
+        rest = F.array_except(F.transform(titles_, lambda t: t["col"].cast("int")), F.transform("m", lambda p: p[mapped]))
+        none = F.lit(None).cast("int")
+        return F.transform(rest, lambda c: F.struct((c if as_a else none).alias("a_col"), (none if as_a else c).alias("b_col")))
+
+    known = known.select("heads", F.concat("m", alone("at", "a_col", True), alone("bt", "b_col", False)).alias("m"))
+    return pairs.select(*keys, "heads").join(known, "heads").select(*keys, F.explode("m").alias("p")).select(*keys, "p.a_col", "p.b_col")
 
 
 def structure_change(cells: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,11 +107,13 @@ def structure_change(cells: DataFrame, mapping: DataFrame, keys: list[str]) -> D
 def anchor_rows(cells: DataFrame, keys: list[str], chunk: int | None = AUTO) -> DataFrame:
     """Numbered anchor rows with soft key, full hash and the text of all visible cells."""
     by = [*keys, "side"]
-    text = norm_text(F.col("text")) if "deep" not in cells.columns else F.col("deep")
-    visible = tb.logical_rows(cells.withColumn("_t", text), by).groupBy(*by, F.col("row").alias("anchor_row")).agg(
-        tb.joined("_t", ["anchor_col"], tb.ROW_SEP, F.col("_t") != "").alias("norm"))
+    if "deep" not in cells.columns:
+        cells = cells.withColumn("deep", normalized(cells))
+    visible = tb.logical_rows(cells, by).groupBy(*by, F.col("row").alias("anchor_row")).agg(
+        tb.joined("deep", ["anchor_col"], tb.ROW_SEP, F.col("deep") != "").alias("norm"))
     r = tb.row_keys(cells, by).join(tb.row_hashes(cells, by), [*by, "anchor_row"]).join(visible, [*by, "anchor_row"])
-    r = number_rows(r, by, "anchor_row", "idx", chunk=chunk)
+    # counting the groups and numbering the rows read the joined rows twice
+    r = number_rows(cut_lineage(r), by, "anchor_row", "idx", chunk=chunk)
     return r.withColumn("idx", F.col("idx").cast("int"))
 
 
@@ -160,7 +181,7 @@ def row_pairs(rows: DataFrame, keys: list[str], tile: int = matching.TILE) -> Da
 
 
 def visible_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    return tb.logical_rows(cells.withColumn("norm", norm_text(F.col("text"))), [*keys, "side"])
+    return tb.logical_rows(cells.withColumn("norm", normalized(cells)), [*keys, "side"])
 
 
 def cell_pairs(pairs: DataFrame, cells: DataFrame, keys: list[str], mapping: DataFrame | None = None) -> DataFrame:
@@ -254,7 +275,9 @@ def one_sided_mode(has_a: Column, has_b: Column) -> Column:
 
 def diff_tables(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Row changes and render modes of all table pairs that have both sides."""
-    cells = cut_lineage(cells)
+    # texts are normalized once; every step below reads the result
+    cells = cut_lineage(cells.withColumn("norm", norm_text(F.col("text"))).withColumn(
+        "deep", F.col("deep") if "deep" in cells.columns else F.col("norm")))
     mapping = cut_lineage(header_map(cells, keys))
     structure = cut_lineage(structure_change(cells, mapping, keys))
     rows = cut_lineage(anchor_rows(cells, keys))
