@@ -234,14 +234,17 @@ def rescue_tables(ops: DataFrame, blocks: DataFrame, identities: DataFrame, tota
             *keys, "side", late.alias("late"), "idx", "ident")
 
     cand = candidates("delete", "A", "i1").unionByName(candidates("insert", "B", "j1"))
-    sizes = cand.groupBy(*keys).agg(F.max(F.when(F.col("side") == "A", F.col("idx"))).alias("amax"),
-                                    F.max(F.when(F.col("side") == "B", F.col("idx"))).alias("bmax"))
-    cand = cand.join(sizes.dropna(), keys)
-    other = F.when(F.col("side") == "A", F.col("bmax")).otherwise(F.col("amax"))
+    sizes = cand.groupBy(*keys).agg(F.count_if(F.col("side") == "A").alias("n_a"), F.count_if(F.col("side") == "B").alias("n_b"))
+    cand = cand.join(sizes.filter((F.col("n_a") > 0) & (F.col("n_b") > 0)), keys)
+
+    def tiles_of(n):
+        return F.ceil(n / tile).cast("int")
+
+    own = F.when(F.col("side") == "A", F.col("n_a")).otherwise(F.col("n_b"))
+    other = F.when(F.col("side") == "A", F.col("n_b")).otherwise(F.col("n_a"))
     item = F.struct("late", "idx", "ident")
-    mine = F.floor(F.col("idx") / tile).cast("int")
-    work = cand.select(*keys, "side", item.alias("item"), mine.alias("mine"), F.explode(
-        F.sequence(F.lit(0), F.floor(other / tile).cast("int"))).alias("theirs"))
+    work = cand.select(*keys, "side", item.alias("item"), F.pmod(F.hash("idx"), tiles_of(own)).alias("mine"), F.explode(
+        F.sequence(F.lit(0), tiles_of(other) - 1)).alias("theirs"))
     ta = F.when(F.col("side") == "A", F.col("mine")).otherwise(F.col("theirs"))
     tb = F.when(F.col("side") == "A", F.col("theirs")).otherwise(F.col("mine"))
     tiles = work.withColumn("ta", ta).withColumn("tb", tb).groupBy(*keys, "ta", "tb").agg(

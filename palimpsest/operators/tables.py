@@ -303,6 +303,7 @@ def merge_runs(cells: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     longest = c.agg(F.max("step")).first()[0] or 0
     grid = table_sizes(c.filter("step = 0"), by).select(*by, F.col("cols").alias("_cols"))
     merged = c.filter("step = 0").drop("step")
+    finished = []
     for step in range(1, longest + 1):
         nxt = c.filter(F.col("step") == step).drop("step")
         going = cut_lineage(nxt.select(*by).distinct())
@@ -319,8 +320,11 @@ def merge_runs(cells: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
         e = e.filter((F.col("_nth") > F.col("repeated")) & (left > 0)).withColumn(
             "col_span", F.greatest(F.lit(1), F.least(span, left)).cast("int")).withColumn(
             "anchor_row", (F.col("anchor_row") + F.coalesce("_rows", F.lit(0)) - F.col("repeated")).cast("int"))
-        stay = merged.join(going, by, "left_anti")
-        merged = cut_lineage(stay.unionByName(base.select(*stay.columns)).unionByName(e.select(*stay.columns)))
+        # runs that end here leave the loop; only the longer ones are carried on
+        finished.append(merged.join(going, by, "left_anti"))
+        merged = cut_lineage(base.select(*merged.columns).unionByName(e.select(*merged.columns)))
+    for part in finished:
+        merged = merged.unionByName(part)
     return merged
 
 
