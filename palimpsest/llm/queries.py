@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import lang_id, packing, token_files
+from palimpsest.llm import lang_id, licenses, mixing, native_sql, packing, token_files, url_filter
 from palimpsest.llm.shared import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,41 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack_pieces(written(digest, new_folder(spark, "packing"), "pieces"))
+
+
+@query("op7_license_scan", native_sql.licence_sql())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query("op8_mixing", native_sql.mixing_sql())
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; quality weights come from ``labels``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Host, path and verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query("op10_url_filter", native_sql.url_sql(URL_RULES))
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page. A page's outcome is bad if the labelled document that its URL numbers is poor or toxic."""
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null")
+    poor = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    outcomes = labels.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(poor).alias("bad"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(url_filter.split_url("url")[1], r"/([0-9]+)([.]html)?/?$", 1).try_cast("long")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_filter.judge(pages.withColumn("_doc", number).join(outcomes, "_doc", "left"), rules, outcome="bad")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
