@@ -1,4 +1,4 @@
-"""SQL that the licence, mixing and URL queries must agree with."""
+"""SQL that the Jaccard join and the licence, mixing and URL queries must agree with."""
 
 from __future__ import annotations
 
@@ -119,3 +119,19 @@ fits as (
   from p join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by rid)
 select page_id, host, path, best.rule as rule, coalesce(best.given, case when bound > {url_filter.MAX_BAD} then 'block' else 'allow' end) as verdict
 from p left join fits using (rid) left join judged using (host)"""
+
+
+def jaccard_sql() -> str:
+    return f"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+s as (
+  select distinct rid, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from d),
+n as (select rid, count(*) as n from s group by rid),
+c as (select a.rid as a, b.rid as b, count(*) as common from s a join s b on a.shingle = b.shingle and a.rid <> b.rid group by all),
+l as (select a, b from c join n x on x.rid = a join n y on y.rid = b where 100 * common >= 75 * (x.n + y.n - common)),
+r(rid, reached) as (select rid, rid from d union select r.rid, l.b from r join l on l.a = r.reached)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(o.doc_id) as component_id
+from r join d using (rid) join d o on o.rid = r.reached left join n on n.rid = d.rid group by d.rid, d.doc_id"""

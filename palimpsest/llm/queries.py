@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import lang_id, licenses, mixing, native_sql, packing, token_files, url_filter
+from palimpsest.llm import jaccard, lang_id, licenses, mixing, native_sql, packing, token_files, url_filter
 from palimpsest.llm.shared import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(written(digest, new_folder(spark, "packing"), "pieces"))
 
 
+@query("op6_jaccard_join", native_sql.jaccard_sql())
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its component."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op7_license_scan", native_sql.licence_sql())
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document."""
