@@ -187,3 +187,14 @@ def predicted(model: Model, text: str | Column = "text") -> Column:
         return pd.DataFrame({"lang_pred": names[best], "score": score})
 
     return of(F.col(text) if isinstance(text, str) else text)
+
+
+def accepted(model: Model, text: str | Column = "text", least: float = 0.0) -> Column:
+    """Whether a text is in a known language: it has a letter, and at least ``least`` of its n-grams belong to the language predicted."""
+
+    @F.pandas_udf("boolean")
+    def of(texts: pd.Series) -> pd.Series:
+        best, score = predict_bytes(model, *text_bytes(pa.array(texts, pa.string(), from_pandas=True)))
+        return pd.Series((best >= 0) & (score >= least))
+
+    return of(F.col(text) if isinstance(text, str) else text)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard, lang_id, licenses, mixing, native_sql, packing, token_files, url_filter
+from palimpsest.llm import ann, embed_dedup, jaccard, lang_id, licenses, lm_score, mixing, native_sql, packing, token_files, url_filter
 from palimpsest.llm.shared import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_masked_lm_score")
+def op1_masked_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the four fifths that are not held out; a null doc_id is in neither part."""
@@ -56,6 +62,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(written(digest, new_folder(spark, "packing"), "pieces"))
 
 
+@query("op5_nearest_neighbours")
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 @query("op6_jaccard_join", native_sql.jaccard_sql())
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
@@ -77,6 +90,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_embedding_near_dedup")
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its number of near copies and its component."""
+    return embed_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 #: Host, path and verdict.
 URL_RULES = [
     ("org", "/", "allow"),
