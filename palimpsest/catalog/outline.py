@@ -236,7 +236,15 @@ ev as (select user_id % 40 as doc_id, event_id as seq, event_id // 3 as pos, cas
 """
 
 
-@query("w6_contents_fields")
+@query("w6_contents_fields", """with e as (select user_id % 40 as doc_id, event_id // 3 as pos, event_id as seq,
+  case event_type when 'view' then 'begin' when 'signup' then 'end' when 'click' then 'toc' end as raw from events),
+ k as (select *, case when raw = 'toc' and coalesce(lag(raw) over (partition by doc_id order by seq), '') <> 'begin' then null else raw end as kind from e),
+ s as (select *, sum(case kind when 'begin' then 1 when 'end' then -1 else 0 end) over w as total, count(*) filter (kind = 'toc') over w as spans
+   from k window w as (partition by doc_id order by pos, seq)),
+ d as (select *, total - min(least(total, 0)) over (partition by doc_id order by pos, seq) as depth from s),
+ t as (select *, last_value(case when kind = 'toc' then depth end ignore nulls) over (partition by doc_id order by pos, seq) as opened,
+   min(depth) over (partition by doc_id, spans order by pos, seq) as lowest from d)
+select doc_id, pos, arg_max(coalesce(lowest >= opened, false), seq) as in_toc from t group by doc_id, pos""")
 def contents_fields(spark, sf):
     kind = F.when(F.col("event_type") == "view", "begin").when(F.col("event_type") == "signup", "end").when(
         F.col("event_type") == "click", "toc")

@@ -90,14 +90,6 @@ def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
                       for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def gestalt_ratio_lists(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2M/(|a|+|b|) over list elements."""
-    return pd.Series(
-        [None if x is None or y is None else _ratio(list(x), list(y)) for x, y in zip(a, b)], dtype="float64"
-    )
-
-
 @F.pandas_udf(T.ArrayType(OPCODE))
 def list_opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     """Opcodes that turn list ``a`` into list ``b``, longest common run first."""
@@ -119,7 +111,9 @@ def _similarity(x, y, floor: float, letters_x: Counter, letters_y: Counter) -> f
     """Similarity of two items of one kind, or None once an upper bound shows that it is below ``floor``."""
     same = x["ctx"] == y["ctx"]
     if x["kind"] == "table":
-        r = _ratio(list(x["rows"]), list(y["rows"]))
+        # tables without cells are told apart by their signatures
+        lone = x["rows"] is None or y["rows"] is None
+        r = _ratio((x["sig"] or "").strip(), (y["sig"] or "").strip()) if lone else _ratio(list(x["rows"]), list(y["rows"]))
         return max(0.5, r) if same else min(1.0, r + 0.15)
     p, q = x["text"], y["text"]
     if x["kind"] == "shape" and (not p or not q):

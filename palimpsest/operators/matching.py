@@ -128,7 +128,8 @@ def slice_edges(items: DataFrame, keys: list[str], tile: int = TILE, cut: Column
     length = F.length("norm")
     bonus = F.when(F.col("type") == "shape", SAME_HEADING_BONUS["shape"]).otherwise(SAME_HEADING_BONUS["text"])
     rows = F.col("row_sigs") if "row_sigs" in items.columns else F.lit(None).cast("array<string>")
-    item = F.struct("k", F.col("type").alias("kind"), F.col("norm").alias("text"), rows.alias("rows"),
+    sig = F.col("signature") if "signature" in items.columns else F.lit(None).cast("string")
+    item = F.struct("k", F.col("type").alias("kind"), F.col("norm").alias("text"), rows.alias("rows"), F.when(F.col("type") == "table", sig).alias("sig"),
                     F.col("heading_ctx").alias("ctx"), bonus.alias("bonus"), (threshold(F.col("type"), length) if cut is None else cut).alias("cut"))
     other = F.when(F.col("side") == "A", F.col("j2") - F.col("j1")).otherwise(F.col("i2") - F.col("i1"))
     mine = F.floor(F.col("k") / tile).cast("int")

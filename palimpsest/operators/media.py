@@ -26,6 +26,14 @@ def images_equal(sha_a: Column, sha_b: Column, hash_a: Column, hash_b: Column, l
     return F.coalesce(sha_a == sha_b, F.lit(False)) | F.coalesce(hamming(hash_a, hash_b) <= limit, F.lit(False))
 
 
+def image_lists_equal(a: Column, b: Column, words_a: Column, words_b: Column) -> Column:
+    """As many images on both sides, each equal to the one at its place; ``words_a`` and ``words_b`` are their hashes, or null."""
+    n = F.coalesce(F.size(a), F.lit(0))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    each = F.forall(places, lambda i: images_equal(F.get(a, i)["sha256"], F.get(b, i)["sha256"], F.get(words_a, i), F.get(words_b, i)))
+    return (n == F.coalesce(F.size(b), F.lit(0))) & each
+
+
 def image_payload(img: Column, with_url: Column) -> Column:
     """Image fields for a report; the address only where the image has changed."""
     return F.when(img.isNotNull(), F.struct(

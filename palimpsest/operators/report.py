@@ -7,16 +7,28 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import norm_text
 from palimpsest.operators import matching as m
+from palimpsest.operators import media
 from palimpsest.operators.scan import PLAIN, Run, following, previous, scan
 
 NO_HEADING = "(No heading)"
 # What a change type is shown as.
 DISPLAY_TYPES = {
-    "paragraph": "paragraph",
-    "heading": "heading",
-    "table": "table",
-    "image": "image",
-    "shape": "shape",
+    "paragraph_modified": "paragraph",
+    "paragraph_inserted": "paragraph",
+    "paragraph_deleted": "paragraph",
+    "heading_modified": "heading",
+    "heading_inserted": "heading",
+    "heading_deleted": "heading",
+    "table_modified": "table",
+    "table_inserted": "table",
+    "table_deleted": "table",
+    "image_modified": "image",
+    "image_inserted": "image",
+    "image_deleted": "image",
+    "image_added": "image",
+    "shape_modified": "shape",
+    "shape_inserted": "shape",
+    "shape_deleted": "shape",
 }
 
 
@@ -67,12 +79,13 @@ def changes(ops: DataFrame, blocks: DataFrame, keys: list[str], extra: list[str]
             chunk: int | None = PLAIN) -> DataFrame:
     """Changes of all pairs, numbered; ``extra`` names block columns to carry for both sides.
 
-    Pairs of one type are kept if they really differ (text, level or numbering); pairs of two types become a delete and
-    an insert.
+    Pairs of one type are kept if they really differ (text, level or numbering, paragraphs also in their images); pairs of
+    two types become a delete and an insert.  A shape with nothing in it (``has_content`` is false) is neither deleted nor inserted.
     """
     extra = extra or []
     b = with_context(blocks, keys, chunk)
-    cols = ["uid", "type", "ord", "text", "level", "heading_ctx", "numbering", "signature", "prev", "next", *extra]
+    cols = ["uid", "type", "ord", "text", "level", "heading_ctx", "numbering", "images", "image_words", "has_content", "signature", "prev",
+            "next", *extra]
     have = [c for c in cols if c in b.columns]
     left = b.filter("side = 'A'").select(*keys, F.col("idx").alias("a"), F.struct(*have).alias("left"))
     right = b.filter("side = 'B'").select(*keys, F.col("idx").alias("b"), F.struct(*have).alias("right"))
@@ -89,9 +102,16 @@ def changes(ops: DataFrame, blocks: DataFrame, keys: list[str], extra: list[str]
     same = norm_text(F.col("left.text")) == norm_text(F.col("right.text"))
     if "numbering" in have:
         same = same & F.col("left.numbering").eqNullSafe(F.col("right.numbering"))
+    same_images = F.lit(True)
+    if "images" in have:
+        same_images = media.image_lists_equal(F.col("left.images"), F.col("right.images"), *[
+            F.col(f"{x}.image_words") if "image_words" in have else F.lit(None).cast("array<array<bigint>>") for x in ("left", "right")])
     level_l, level_r = F.coalesce("left.level", F.lit(1)), F.coalesce("right.level", F.lit(1))
-    same = F.when(kind == "heading", same & (level_l == level_r)).when(kind == "paragraph", same).otherwise(F.lit(False))
+    same = F.when(kind == "heading", same & (level_l == level_r)).when(kind == "paragraph", same & same_images).otherwise(F.lit(False))
     t = t.filter(~(has_l & has_r & F.coalesce(same, F.lit(False))))
+    if "has_content" in have:
+        filled = F.coalesce("left.has_content", "right.has_content", F.lit(True))
+        t = t.filter(~((kind == "shape") & ~(has_l & has_r) & ~filled))
     change = change_kind(has_l, has_r)
     verb = F.when(change == "delete", "_deleted").when(change == "insert", "_inserted").otherwise("_modified")
     meta = heading_meta(has_l, has_r, F.col("left.heading_ctx"), F.col("right.heading_ctx"))
@@ -144,8 +164,7 @@ def summary(ch: DataFrame, keys: list[str]) -> DataFrame:
 def normalize(ch: DataFrame) -> DataFrame:
     """Display type by table lookup, order defaulting to the smaller side, section heading filled in."""
     known = F.create_map(*[F.lit(x) for kv in DISPLAY_TYPES.items() for x in kv])
-    base = F.regexp_replace("type", "_(modified|inserted|deleted)$", "")
-    return ch.withColumn("display_type", F.coalesce(F.try_element_at(known, base), F.col("type"))).withColumn(
+    return ch.withColumn("display_type", F.coalesce(F.try_element_at(known, F.col("type")), F.col("type"))).withColumn(
         "ord", F.coalesce("ord", F.least("left.ord", "right.ord"), F.lit(0))).withColumn(
         "heading", F.coalesce("heading", F.lit(NO_HEADING)))
 

@@ -32,7 +32,8 @@ CONTINUATION_MARKS = [
 CONTENTS_LINE = "^.+[.\\s\\x{b7}\\x{2022}]{3,}\\d+\\s*$"
 CONTENTS_STYLE = "(?i)^toc\\s*\\d+"
 MIN_CONTENTS_LINES = 4
-DEEPEST_HEADING = 9
+# Fixed value: levels that a list definition has.
+LIST_LEVELS = 9
 
 
 def contains_any(s: Column, patterns: list[str]) -> Column:
@@ -48,23 +49,29 @@ def is_continuation(text: Column) -> Column:
 
 
 def _level(level: Column) -> Column:
-    return F.when(F.coalesce(level, F.lit(0)) <= 0, 1).otherwise(F.least(level, F.lit(DEEPEST_HEADING)))
+    return F.when(F.coalesce(level, F.lit(0)) <= 0, 1).otherwise(level)
 
 
-def _stack_runs(prefix: str, is_entry: Column, level: Column, at: Column, value: Column) -> dict[str, Run]:
+def heading_levels(nodes: DataFrame) -> list[int]:
+    """The heading levels that occur, ascending: a handful of numbers, however deep the outline goes."""
+    found = nodes.filter(F.col("type") == "heading").select(_level(F.col("level")).cast("int").alias("level")).distinct()
+    return sorted(r["level"] for r in found.collect())
+
+
+def _stack_runs(prefix: str, levels: list[int], is_entry: Column, level: Column, at: Column, value: Column) -> dict[str, Run]:
     """Last entry of each level; an entry is live iff it comes after the last entry of every shallower level."""
     return {f"{prefix}{k}": Run("last", F.when(is_entry & (level == k), F.struct(at.alias("at"), value.alias("v"))))
-            for k in range(1, DEEPEST_HEADING + 1)}
+            for k in levels}
 
 
-def _live(prefix: str) -> Column:
-    """Array of live entries ``struct(level, v)`` from shallow to deep."""
+def _live(prefix: str, levels: list[int], kind: str) -> Column:
+    """Array of live entries ``struct(level, v)`` from shallow to deep; ``kind`` is the type of ``v``."""
     entries, latest = [], F.lit(-1).cast("long")
-    for k in range(1, DEEPEST_HEADING + 1):
+    for k in levels:
         e = F.col(f"{prefix}{k}")
         entries.append(F.when(e["at"] > latest, F.struct(F.lit(k).alias("level"), e["v"].alias("v"))))
         latest = F.greatest(latest, e["at"].cast("long"))
-    return F.array_compact(F.array(*entries))
+    return F.array_compact(F.array(*entries)) if entries else F.array().cast(f"array<struct<level:int,v:{kind}>>")
 
 
 def drop_skipped_sections(nodes: DataFrame, keys: list[str], chunk: int | None = AUTO) -> DataFrame:
@@ -72,10 +79,10 @@ def drop_skipped_sections(nodes: DataFrame, keys: list[str], chunk: int | None =
 
     A row is inside such a section iff some heading on its raw heading stack (itself included) is skipped.
     """
-    heading = F.col("type") == "heading"
-    runs = _stack_runs("_s", heading, _level(F.col("level")), F.col("ord").cast("long"), is_skipped_section(F.col("text")))
+    heading, levels = F.col("type") == "heading", heading_levels(nodes)
+    runs = _stack_runs("_s", levels, heading, _level(F.col("level")), F.col("ord").cast("long"), is_skipped_section(F.col("text")))
     out = scan(nodes, keys, "ord", runs, chunk=chunk)
-    inside = F.exists(_live("_s"), lambda e: e["v"])
+    inside = F.exists(_live("_s", levels, "boolean"), lambda e: e["v"])
     return out.filter(~inside).drop(*runs)
 
 
@@ -97,11 +104,11 @@ def heading_paths(nodes: DataFrame, keys: list[str], chunk: int | None = AUTO) -
     """Add ``heading_ctx`` and ``heading_level``; blank headings do not touch the path."""
     title = F.trim(F.coalesce("text", F.lit("")))
     entry = (F.col("type") == "heading") & (title != "")
-    level = _level(F.col("level"))
-    runs = _stack_runs("_h", entry, level, F.col("ord").cast("long"), title)
+    level, levels = _level(F.col("level")), heading_levels(nodes)
+    runs = _stack_runs("_h", levels, entry, level, F.col("ord").cast("long"), title)
     runs["_lv"] = Run("last", F.when(entry, level))
     out = scan(nodes, keys, "ord", runs, chunk=chunk)
-    path = F.array_join(F.transform(_live("_h"), lambda e: e["v"]), " > ")
+    path = F.array_join(F.transform(_live("_h", levels, "string"), lambda e: e["v"]), " > ")
     return out.withColumn("heading_ctx", F.nullif(path, F.lit(""))).withColumn(
         "heading_level", F.coalesce("_lv", F.lit(0)).cast("int")).drop(*runs)
 
@@ -164,7 +171,7 @@ def list_counters(items: DataFrame, keys: list[str], chunk: int | None = AUTO) -
     """
     if chunk == AUTO:
         chunk = chunk_for(items, [*keys, "num_id"])
-    levels = range(DEEPEST_HEADING)
+    levels = range(LIST_LEVELS)
     pos = F.col("pos").cast("long")
     resets = {f"_g{k}": Run("max", F.when(F.col("level") < k, pos)) for k in levels}
     out = scan(items, [*keys, "num_id"], "pos", resets, chunk=chunk)
@@ -201,7 +208,7 @@ def list_labels(items: DataFrame, defs: DataFrame, keys: list[str], chunk: int |
         return render_counter(value, F.coalesce(d["num_fmt"], F.lit("decimal")))
 
     label = F.coalesce(own["lvl_text"], F.lit(""))
-    for k in range(DEEPEST_HEADING - 1, -1, -1):
+    for k in range(LIST_LEVELS - 1, -1, -1):
         # the placeholder of a deeper level is left as it is; naming the label once keeps the expression small
         target = F.when(F.col("level") >= k, F.lit(f"%{k + 1}")).otherwise(F.lit("\u0000"))
         label = F.replace(label, target, shown(k))
@@ -216,8 +223,8 @@ def contents_field_rows(events: DataFrame, keys: list[str], chunk: int | None =
     """Whether each paragraph lies in a contents field, by the state after its own field events.
 
     ``events`` has ``pos, seq, kind`` with kind ``begin``, ``toc`` (a contents instruction right after a begin) or
-    ``end``; paragraphs without events carry one row with a null kind.  Only the outermost open span counts: it
-    opens at depth d when none is open, and closes at the first event that brings the depth below d.
+    ``end``; paragraphs without events carry one row with a null kind.  A contents instruction at depth d opens a span, which
+    the first event that brings the depth below d closes; a later instruction takes the place of an earlier one.
     """
     delta = F.when(F.col("kind") == "begin", 1).when(F.col("kind") == "end", -1).otherwise(0).cast("long")
     if chunk == AUTO:
@@ -227,14 +234,11 @@ def contents_field_rows(events: DataFrame, keys: list[str], chunk: int | None =
     # a depth that never falls below zero: subtract the lowest point reached so far
     rows = scan(rows, keys, "_e", {"_low": Run("min", F.least(F.col("_sum"), F.lit(0).cast("long")))}, chunk=chunk)
     rows = rows.withColumn("_depth", F.col("_sum") - F.col("_low"))
-    # a span is open while the deepest-so-far opening is still covered: the last opening with no lower depth after it
-    opens = {f"_o{d}": Run("last", F.when((F.col("kind") == "toc") & (F.col("_depth") == d), F.col("_e")))
-             for d in range(1, DEEPEST_HEADING + 1)}
-    closes = {f"_k{d}": Run("last", F.when(F.col("_depth") < d, F.col("_e"))) for d in range(1, DEEPEST_HEADING + 1)}
-    rows = scan(rows, keys, "_e", {**opens, **closes}, chunk=chunk)
-    live = F.lit(False)
-    for d in range(1, DEEPEST_HEADING + 1):
-        live = live | F.coalesce(F.col(f"_o{d}") > F.coalesce(F.col(f"_k{d}"), F.lit(-1)), F.lit(False))
+    # the last instruction counts: its depth, and the lowest depth since
+    toc = F.col("kind") == "toc"
+    rows = scan(rows, keys, "_e", {"_spans": Run("sum", F.when(toc, 1).otherwise(0)), "_at": Run("last", F.when(toc, F.col("_depth")))}, chunk=chunk)
+    rows = scan(rows, [*keys, "_spans"], "_e", {"_least": Run("min", F.col("_depth"))}, chunk=chunk)
+    live = F.coalesce(F.col("_least") >= F.col("_at"), F.lit(False))
     return rows.withColumn("_live", live).groupBy(*keys, "pos").agg(F.max_by("_live", "_e").alias("in_toc"))
 
 

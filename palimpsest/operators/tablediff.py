@@ -32,15 +32,15 @@ def normalized(cells: DataFrame) -> Column:
     return F.col("norm") if "norm" in cells.columns else norm_text(F.col("text"))
 
 
-def header_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Up to three leading rows before the first blank row or the first row with real numbers; at least one."""
+def header_rows(cells: DataFrame, keys: list[str], most: int = MAX_HEADER_ROWS) -> DataFrame:
+    """Up to ``most`` leading rows before the first blank row or the first row with real numbers; at least one."""
     t = normalized(cells)
     number = t.rlike("\\d{2,}") & ~t.rlike("^\\d{1,3}$")
     r = cells.withColumn("_b", t == "").withColumn("_n", number).groupBy(*keys, "anchor_row").agg(
         (F.min("_b") | F.max("_n")).alias("_stop"))
     # a rank with a small bound is cut down before the exchange
     nth = F.row_number().over(W.partitionBy(*keys).orderBy("anchor_row"))
-    r = r.withColumn("_nth", nth).filter(F.col("_nth") <= MAX_HEADER_ROWS)
+    r = r.withColumn("_nth", nth).filter(F.col("_nth") <= most)
     stop = r.groupBy(*keys).agg(F.min(F.when(F.col("_stop"), F.col("_nth"))).alias("_end"))
     return r.join(stop, keys).filter((F.col("_nth") < F.coalesce("_end", F.lit(MAX_HEADER_ROWS + 1)))
                                      | (F.col("_nth") == 1)).select(*keys, "anchor_row")

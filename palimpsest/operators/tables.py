@@ -178,17 +178,17 @@ def table_signatures(cells: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.concat(F.lit("T:"), fp.short_hash(joined("_rs", ["anchor_row"], "|"))).alias("sig"))
 
 
-def row_keys(cells: DataFrame, keys: list[str], prefix: int = 80) -> DataFrame:
-    """Soft key of an anchor row: column, kind, image count and a hash of the first characters of every cell.
+def row_keys(cells: DataFrame, keys: list[str], prefix: int | None = None) -> DataFrame:
+    """Soft key of an anchor row: column, kind, image count and a hash of the text of every cell.
 
-    Uses ``deep`` if present, else the cell's own text.  Rows that are lightly edited far into a cell stay alike.
+    Uses ``deep`` if present, else the cell's own text.  With ``prefix``, rows that are alike so far into their cells are one.
     """
     deep = F.col("deep") if "deep" in cells.columns else norm_text(F.col("text"))
     kind, n_img = F.lit("T"), F.lit("0")
     if "content" in cells.columns:
         kind = F.when(F.exists("content", lambda x: x["type"] == "table"), "N").otherwise("T")
         n_img = F.coalesce(F.size(F.filter("content", lambda x: x["type"] == "image")), F.lit(0)).cast("string")
-    digest = F.replace(F.md5(F.substring(deep, 1, prefix)), F.lit(fp.EMPTY_MD5), F.lit(""))
+    digest = F.replace(F.md5(deep if prefix is None else F.substring(deep, 1, prefix)), F.lit(fp.EMPTY_MD5), F.lit(""))
     part = F.concat(F.col("anchor_col").cast("string"), F.lit(":"), kind, F.lit(":img"), n_img, F.lit(":txt"),
                     F.substring(digest, 1, 10))
     return cells.withColumn("_p", part).groupBy(*keys, "anchor_row").agg(
@@ -208,12 +208,14 @@ def _readable_images(item: Column) -> Column:
         F.lit("IMG:"), F.coalesce(F.substring(F.nullif(i["sha256"], F.lit("")), 1, 16), i["uid"], F.lit(""))))
 
 
-def readable_item(item: Column) -> Column:
-    """Readable key of a cell item: the first 120 characters of a paragraph, 80 of a shape, and image digests."""
+def readable_item(item: Column, paragraph: int | None = None, shape_text: int | None = None) -> Column:
+    """Readable key of a cell item: the text of a paragraph or shape (or so many characters of it), and image digests."""
     t = F.coalesce(item["text"], F.lit(""))
-    para = F.concat(F.array(F.regexp_replace(F.substring(t, 1, 120), "(?s)^(.+)$", "TXT:$1")), _readable_images(item))
+    of_paragraph = t if paragraph is None else F.substring(t, 1, paragraph)
+    of_shape = t if shape_text is None else F.substring(t, 1, shape_text)
+    para = F.concat(F.array(F.regexp_replace(of_paragraph, "(?s)^(.+)$", "TXT:$1")), _readable_images(item))
     para = F.array_join(F.filter(para, lambda x: x != ""), "|")
-    shape = F.array_join(F.concat(F.array(F.concat(F.lit("SHP:"), F.coalesce(F.nullif(F.substring(t, 1, 80), F.lit("")),
+    shape = F.array_join(F.concat(F.array(F.concat(F.lit("SHP:"), F.coalesce(F.nullif(of_shape, F.lit("")),
                                                                            item["uid"]))), _readable_images(item)), "|")
     image = F.concat(F.lit("IMG:"), F.coalesce(F.substring(F.nullif(item["sha256"], F.lit("")), 1, 16), item["uid"]))
     return (F.when(item["type"] == "paragraph",
@@ -225,7 +227,7 @@ def readable_item(item: Column) -> Column:
 def readable_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Readable signature of every logical row: its anchors, or for rows of spanning cells only their spans."""
     content = F.col("content") if "content" in cells.columns else F.lit(None).cast(fp.CONTENT)
-    filled = F.array_join(F.transform(content, readable_item), "|")
+    filled = F.array_join(F.transform(content, lambda x: readable_item(x)), "|")
     blank = F.concat(F.lit("EMPTY:"), F.col("anchor_row").cast("string"), F.lit(":"), F.col("anchor_col").cast("string"),
                      F.lit(":"), fp.dimensions(F.col("row_span"), F.col("col_span")))
     own = F.coalesce(F.nullif(filled, F.lit("")), blank)

@@ -56,6 +56,12 @@ def test_skips_and_paths(spark, chunk):
     assert got == _machine(rows)
 
 
+def test_deep_headings_keep_their_path(spark):
+    rows = [(1, i, f"n{i}", "heading", i + 1, f"h{i + 1}") for i in range(12)] + [(1, 12, "a", "heading", 11, "again"), (1, 13, "b", "paragraph", None, "text")]
+    got = [r.heading_ctx for r in st.heading_paths(spark.createDataFrame(rows, NODE), ["d"], PLAIN).orderBy("ord").collect()]
+    assert got[11] == " > ".join(f"h{i + 1}" for i in range(12)) and got[13] == " > ".join([*(f"h{i + 1}" for i in range(10)), "again"])
+
+
 @pytest.mark.parametrize("chunk", [PLAIN, 5])
 def test_contents_fields(spark, chunk):
     rng = random.Random(3)
@@ -72,7 +78,7 @@ def test_contents_fields(spark, chunk):
                 depth = max(0, depth - 1)
                 if opened is not None and depth < opened:
                     opened = None
-            elif kind == "toc" and opened is None:
+            elif kind == "toc":
                 opened = depth
             last = kind
             rows.append((d, e // 3, e, kind))
