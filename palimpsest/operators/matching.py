@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.kernels import tile_edges
@@ -21,6 +22,7 @@ SEQ_STEP = 100_000
 TILE = 256
 TABLE_TILE = 64
 MAX_EDGES_IN_ROW = 2_000
+SERVED = 128
 
 
 def threshold(kind: Column, length: Column) -> Column:
@@ -65,11 +67,13 @@ def table_similarity(a: Column, b: Column, total_blocks: Column) -> Column:
 
 # ---- greedy one-to-one picks ----------------------------------------------------------------------------------
 
-def greedy_picks(edges: DataFrame, keys: list[str], rank: list[str], max_edges: int = MAX_EDGES_IN_ROW) -> DataFrame:
+def greedy_picks(edges: DataFrame, keys: list[str], rank: list[str], max_edges: int = MAX_EDGES_IN_ROW,
+                 served: list[str] | None = None) -> DataFrame:
     """Walk the edges ``(keys, ki, kj, rank...)`` in order of ``rank`` and take each whose two ends are still free.
 
     Groups with few edges are folded inside one row.  Larger ones go through rounds in which every edge that
-    ranks first at both of its ends is taken; since the order is total, that ends in the same picks.
+    ranks first at both of its ends is taken; since the order is total, that ends in the same picks.  If ``rank`` begins
+    with columns of the left end (``served``), left ends are served one after the other, and large groups take them in blocks instead.
     """
     rank = [*rank, "ki", "kj"]
     uniq = list(dict.fromkeys(rank))
@@ -92,6 +96,8 @@ def greedy_picks(edges: DataFrame, keys: list[str], rank: list[str], max_edges:
     if not crowded_exists:
         return folded
     rest = cut_lineage(edges.join(crowded, keys, "left_semi"))
+    if served:
+        return folded.unionByName(_served_picks(rest, keys, uniq, served, start, step))
     picks = folded
     while not rest.isEmpty():
         first_a = rest.groupBy(*keys, "ki").agg(F.min(item).alias("fa"))
@@ -105,6 +111,30 @@ def greedy_picks(edges: DataFrame, keys: list[str], rank: list[str], max_edges:
     return picks
 
 
+def _served_picks(edges: DataFrame, keys: list[str], rank: list[str], served: list[str], start: Column, step) -> DataFrame:
+    """Left ends in blocks of ``SERVED``, in their order, each taking its best right end that is still free.
+
+    The others of its block can take at most ``SERVED - 1`` right ends before one, so its ``SERVED`` best free ones are enough.
+    """
+    lefts = edges.select(*keys, "ki", *[c for c in served if c != "ki"]).distinct()
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(*served, "ki"))
+    lefts = lefts.select(*keys, "ki", F.floor((nth - 1) / SERVED).cast("int").alias("_block"))
+    edges = cut_lineage(edges.join(lefts, [*keys, "ki"]))
+    item = F.struct(*[F.col(c) for c in rank])
+    blocks = (edges.agg(F.max("_block")).first()[0] or 0) + 1
+    taken = None
+    for b in range(blocks):
+        free = edges.filter(F.col("_block") == b)
+        if taken is not None:
+            free = free.join(taken.select(*keys, "kj"), [*keys, "kj"], "left_anti")
+        best = F.row_number().over(W.partitionBy(*keys, "ki").orderBy(item))
+        free = free.withColumn("_best", best).filter(F.col("_best") <= SERVED)
+        mine = free.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("es")).select(
+            *keys, F.explode(F.aggregate("es", start, step, lambda acc: acc["out"])).alias("p")).select(*keys, "p.ki", "p.kj")
+        taken = cut_lineage(mine if taken is None else taken.unionByName(mine))
+    return taken
+
+
 # ---- replace slices -------------------------------------------------------------------------------------------
 
 def slice_items(ops: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -258,7 +288,7 @@ def rescue_tables(ops: DataFrame, blocks: DataFrame, identities: DataFrame, tota
         *keys, "e.*")
     # serial choice: deletes in order, each its best insert, ties to the first
     picks = greedy_picks(edges.select(*keys, "ki", "kj", "la", F.col("ki").alias("_k"), "s", "lb"), keys,
-                         ["la", "_k", "s", "lb"])
+                         ["la", "_k", "s", "lb"], served=["la", "_k"])
     picks = cut_lineage(picks)
     shift_a = picks.select(*keys, F.lit("delete").alias("tag"), F.col("ki").alias("i1"), F.lit(True).alias("_hit"))
     shift_b = picks.select(*keys, F.lit("insert").alias("tag"), F.col("kj").alias("j1"), F.lit(True).alias("_hit"))

@@ -163,7 +163,7 @@ def row_pairs(rows: DataFrame, keys: list[str], tile: int = matching.TILE) -> Da
     items = cut_lineage(matching.slice_items(ops, items, keys))
     group = [*keys, "i1", "j1"]
     edges = matching.slice_edges(items, keys, tile, cut=F.lit(ROW_RATIO)).withColumn("_s", -F.col("sim")).drop("sim")
-    picks = cut_lineage(matching.greedy_picks(edges.withColumn("_k", F.col("ki")), group, ["_k", "_s"]))
+    picks = cut_lineage(matching.greedy_picks(edges.withColumn("_k", F.col("ki")), group, ["_k", "_s"], served=["_k"]))
     a = items.filter("side = 'A'").withColumnRenamed("k", "ki").join(picks, [*group, "ki"], "left")
     a = a.select(*keys, F.when(F.col("kj").isNull(), "deleted").otherwise("pair").alias("kind"), F.col("idx").alias("a"),
                  (F.col("j1") + F.col("kj")).alias("b"), F.col("idx").alias("at"), F.lit(1).alias("late"), F.lit(0).alias("sub"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +56,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     the partitions into few tasks, and a following groupBy on the same keys needs no further exchange.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for a session that was not started with it (``--py-files`` or an installed wheel)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # a folder of the driver alone: Spark copies the archive to every executor
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="palimpsest-"), "palimpsest"), "zip", root, "palimpsest")
+    spark.sparkContext.addPyFile(archive)

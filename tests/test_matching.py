@@ -26,6 +26,22 @@ def test_rounds_equal_fold(spark):
     assert fold == want and rounds == want
 
 
+def test_served_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(m, "SERVED", 16)
+    rng = random.Random(5)
+    rows = [(g, i, j, i // 2, rng.randint(0, 9)) for g in range(2) for i in range(70) for j in range(70)]
+    edges = spark.createDataFrame(rows, "g int, ki int, kj int, at int, r int")
+    got = {tuple(x) for x in m.greedy_picks(edges, ["g"], ["at", "ki", "r"], max_edges=100, served=["at", "ki"]).collect()}
+    want = set()
+    for g in range(2):
+        used = set()
+        for i in range(70):
+            free = sorted((r, j) for gg, ii, j, _, r in rows if (gg, ii) == (g, i) and j not in used)
+            used.add(free[0][1])
+            want.add((g, i, free[0][1]))
+    assert got == want
+
+
 def _slices(seed):
     rng = random.Random(seed)
     words = ["alpha", "beta", "gamma", "delta", "omega"]
