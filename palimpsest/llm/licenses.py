@@ -1,7 +1,7 @@
 """Licence scan (method: positional rare-token index).
 
-Licence notices are templates, sequences of words. The index lists the places of each template's rarest words in it (rarest by how many documents hold
-them). A file looks up those of its indexed words with the highest IDF, and each of their places in the file names templates with a relative position.
+Licence notices are templates, sequences of words. The index lists the places of the rarest words of each template and of its key phrase (rarest by how
+many documents hold them). A file looks up those of its indexed words with the highest IDF, and each of their places in the file names templates with a relative position.
 Where two places agree on template and relative position, the template is a candidate there; it counts if its key phrase stands there word by word.
 Base phrases are found besides, wherever their words stand consecutively. All of it works on the row of a file: no file is joined or shuffled.
 """
@@ -39,10 +39,10 @@ TEMPLATES = {
     "proprietary": ("all rights reserved no part of this work may be reproduced without permission", "no part of this work may be reproduced"),
 }
 
-#: Rarest words of a template that are indexed.
+#: Rarest words of a template that are indexed, besides the AGREEING rarest of its key phrase.
 INDEXED = 3
 #: Words that a file looks up: so many of its indexed words with the highest IDF.
-LOOKED_UP = 6
+LOOKED_UP = 16
 #: Places that must agree on a template and its relative position.
 AGREEING = 2
 
@@ -64,6 +64,11 @@ def document_frequency(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {r["word"]: r["count"] for r in found.collect()}
 
 
+def _rarest(order: list[str], frequency: dict[str, int], n: int) -> list[str]:
+    """The ``n`` words that fewest documents hold, of those that any holds."""
+    return sorted({w for w in order if frequency.get(w)}, key=lambda w: (frequency[w], w))[:n]
+
+
 def _at(phrase: list[str], place: Column) -> Column:
     """Whether the words of ``phrase`` stand in the file from ``place`` on."""
     same = F.lit(True)
@@ -80,9 +85,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     frequency = document_frequency(docs, text)
     postings: dict[str, list[tuple[str, int]]] = {}
-    for label, (template, _) in TEMPLATES.items():
+    for label, (template, phrase) in TEMPLATES.items():
         order = template.split()
-        rarest = sorted({w for w in order if frequency.get(w)}, key=lambda w: (frequency[w], w))[:INDEXED]
+        rarest = _rarest(order, frequency, INDEXED) + _rarest(phrase.split(), frequency, AGREEING)
         for place, w in enumerate(order):
             if w in rarest:
                 postings.setdefault(w, []).append((label, place))

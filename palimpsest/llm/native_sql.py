@@ -25,10 +25,13 @@ tw as (select label, unnest(string_split(template, ' ')) as word, generate_subsc
          len(string_split(phrase, ' ')) as key_n
        from notices),
 df as (select word, count(distinct rid) as files from tok where word in (select word from tw) group by word),
+ranked as (
+  select label, word, files, row_number() over (partition by label order by files, word) as place from (select distinct label, word, files from tw join df using (word))),
+in_key as (
+  select label, word, files, row_number() over (partition by label order by files, word) as place
+  from (select distinct label, word, files from tw join df using (word) where pos >= key_from and pos < key_from + key_n)),
 rare as (
-  select label, word, files from (
-    select *, row_number() over (partition by label order by files, word) as place from (select distinct label, word, files from tw join df using (word)))
-  where place <= {licenses.INDEXED}),
+  select label, word, files from ranked where place <= {licenses.INDEXED} union select label, word, files from in_key where place <= {licenses.AGREEING}),
 postings as (select tw.label, tw.word, tw.pos from tw join rare using (label, word)),
 looked as (
   select rid, word from (
