@@ -16,7 +16,7 @@ import numpy as np
 from palimpsest.llm.bytescan import SPACE, document_starts, hashes, slices, words
 
 #: Encoded words that one worker keeps; beyond it the store starts anew. About 40 bytes each.
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 800_000
 
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
 _loaded: dict[str, "Encoder"] = {}
