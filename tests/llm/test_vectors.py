@@ -70,3 +70,27 @@ def test_near_copies_against_brute_force(spark, monkeypatch, shard):
     assert embed_dedup.near_copies(df.limit(0)).count() == 0
     found, all_links = embed_dedup.recall(df, embed_dedup.near_copies(df), share=10)
     assert found >= 0.9 * all_links
+
+
+def grouped(sizes, d, noise, seed=1):
+    """Unit vectors in groups of near copies, mixed."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for n in sizes:
+        centre, off = rng.standard_normal(d), rng.standard_normal((n, d))
+        out.append(centre / np.linalg.norm(centre) + noise * off / np.linalg.norm(off, axis=1, keepdims=True))
+    x = np.concatenate(out)
+    x = x[rng.permutation(len(x))]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def links_against_all(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed_dedup.near_copies(df).collect()}
+    there = np.concatenate([(x[i:i + 1000] @ x.T >= 0.95).sum(1) - 1 for i in range(0, len(x), 1000)])
+    return np.array([got[i].n_links for i in range(len(x))]), there, got
+
+
+def test_groups_of_near_copies_among_pairs(spark):
+    mine, there, got = links_against_all(spark, grouped([60, 100, 600] + [2] * 500, 64, 0.12))
+    assert (mine == there).all() and len({r.component_id for r in got.values()}) == 503
