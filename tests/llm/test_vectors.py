@@ -91,6 +91,23 @@ def links_against_all(spark, x):
     return np.array([got[i].n_links for i in range(len(x))]), there, got
 
 
-def test_groups_of_near_copies_among_pairs(spark):
+@pytest.mark.parametrize("shard", [4000, 400])
+def test_groups_of_near_copies_among_pairs(spark, monkeypatch, shard):
+    monkeypatch.setattr(embed_dedup, "SHARD_ROWS", shard)
+    monkeypatch.setattr(embed_dedup, "AIM_ROWS", shard // 2)
     mine, there, got = links_against_all(spark, grouped([60, 100, 600] + [2] * 500, 64, 0.12))
     assert (mine == there).all() and len({r.component_id for r in got.values()}) == 503
+
+
+def test_group_larger_than_a_shard(spark):
+    mine, there, got = links_against_all(spark, grouped([10_000] + [2] * 10_000, 16, 0.12))
+    assert there.max() >= 9999 and (mine <= there).all() and mine.sum() >= 0.999 * there.sum()
+    assert (mine[there >= 9000] >= 0.999 * there[there >= 9000]).all()
+
+
+def test_equal_places_are_cut_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "SPLITS", 0)
+    monkeypatch.setattr(embed_dedup, "SHARD_ROWS", 300)
+    monkeypatch.setattr(embed_dedup, "VISITORS", 200)
+    mine, there, _ = links_against_all(spark, grouped([900] + [2] * 50, 16, 0.12))
+    assert (mine == there).all()
