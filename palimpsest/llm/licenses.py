@@ -41,7 +41,7 @@ TEMPLATES = {
 
 #: Rarest words of a template that are indexed, besides the AGREEING rarest of its key phrase.
 INDEXED = 3
-#: Words that a file looks up: so many of its indexed words with the highest IDF.
+#: Words that the SQL looks up in a file, of its indexed words those with the highest IDF; ``scan`` looks up all.
 LOOKED_UP = 16
 #: Places that must agree on a template and its relative position.
 AGREEING = 2
@@ -106,8 +106,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             here = here & F.array_contains("words", w)
         places = F.filter(F.sequence(F.lit(0), F.size("words") - len(parts)), partial(_at, parts))
         found[f"base{i}"] = F.when(here & (F.size("words") >= len(parts)), places).otherwise(no_places)
-    # Words looked up stand in order of IDF, so the first of those present are the highest.
-    found["chosen"] = F.slice(F.array_intersect(_texts(by_idf), F.col("words")), 1, LOOKED_UP)
+    # All indexed words of the file, in order of IDF.
+    found["chosen"] = F.array_intersect(_texts(by_idf), F.col("words"))
     rows = rows.withColumns(found)
 
     hit = "array<struct<label:string,place:int>>"

@@ -84,3 +84,10 @@ def test_bad_hosts_are_blocked_and_lone_pages_forgiven(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     got = {r.host: r.verdict for r in url_filter.judge(pages, rules, outcome="outcome").collect()}
     assert got["bad.one.net"] == "block" and got["good.two.net"] == "allow" and got["lone.two.net"] == "allow" and got["new.two.net"] == "allow"
+
+
+def test_text_of_all_notices_has_all_labels(spark):
+    common = [(i, "license mit the under released") for i in range(50)]
+    docs = spark.createDataFrame([(99, " x ".join(t for t, _ in licenses.TEMPLATES.values())), *common], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert set(licenses.TEMPLATES) <= set(got[99].labels.split(",")) and got[0].labels == ""
