@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, embed_dedup, jaccard, lang_id, licenses, lm_score, mixing, native_sql, packing, token_files, url_filter
+from palimpsest.llm import (
+    ann, audit_sql, byte_bpe, centroids, embed_dedup, filter_audit, jaccard, lang_id, licenses, lm_score, mixing, native_sql, packing, token_files, url_filter)
 from palimpsest.llm.shared import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_filter.judge(pages.withColumn("_doc", number).join(outcomes, "_doc", "left"), rules, outcome="bad")
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_filter_audit", audit_sql.filters_sql())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(ids, byte_bpe.token_bytes(spark, ranks)))
+
+
+@query("op13_centroid_clusters", audit_sql.clusters_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
