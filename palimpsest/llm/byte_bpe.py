@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding (method: global distinct-word shuffle).
 
-Texts are cut into pre-tokens. Those of a block of documents are exploded: one row for each distinct one, with its places in the block. Distinct pre-tokens
-of all blocks are encoded once; their ids are joined back by the pre-token and put in their places, block by block. A pre-token has one row in a block
-however often it occurs, so the commonest word of the corpus has as many rows as there are blocks. Decoding joins ids with the table of token bytes, which
-is as large as the vocabulary, so it goes to all tasks and is joined in place.
+Texts are cut into pre-tokens. Those of a block of documents are exploded into distinct ones and their places in the block. Distinct pre-tokens are dealt by
+hash to buckets; where they meet, each is encoded once, whatever the number of blocks that have it, and its ids go back to the blocks, where they are put in
+their places. A pre-token is sent once from a block however often it occurs, so the commonest word of the corpus is sent as often as there are blocks. What a
+block sends to a bucket is one row (of packed words, of packed ids on the way back): texts of very many different words would otherwise cost more bytes
+for the rows than for the words. Decoding joins ids with the table of token bytes, which is as large as the vocabulary, so it goes to all tasks and is
+joined in place.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import re
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -24,11 +28,16 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from palimpsest.llm.shared import new_folder, written
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK = 1 << 22
+BLOCK = 1 << 23
 #: Documents in a block, at most.
 BLOCK_DOCS = 20_000
+#: Bytes of text for each bucket of words: a worker holds the distinct words of one bucket at a time.
+BUCKET_BYTES = 1 << 24
 
-EXPLODED = "block long, word_no int, word binary, places binary, doc_ids array<long>, ends array<long>"
+EXPLODED = "block long, bucket int, payload binary, buckets binary, doc_ids array<long>, ends array<long>"
+
+# Letters, digits and white space among the first 256 characters.
+_LETTERS, _DIGITS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 
 
 @functools.cache
@@ -52,61 +61,97 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def pack_numbers(values: np.ndarray) -> bytes:
-    """Numbers below 2**35 in groups of seven bits, lowest first; a set high bit says that more follow."""
-    values = values.astype(np.uint64)
-    size = 1 + sum((values >= np.uint64(1 << 7 * i)).astype(np.int64) for i in range(1, 5))
-    start = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    for i in range(int(size.max(initial=0))):
-        at = size > i
-        more = (size[at] > i + 1).astype(np.uint64) << np.uint64(7)
-        out[start[at] + i] = ((values[at] >> np.uint64(7 * i)) & np.uint64(127)) | more
-    return out.tobytes()
-
-
-def unpack_numbers(data: np.ndarray) -> np.ndarray:
-    """The numbers of :func:`pack_numbers`."""
-    last = data < 128
-    number = np.cumsum(last) - last
-    end = np.flatnonzero(last)
-    start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
-    shift = (7 * (np.arange(len(data)) - start[number])).astype(np.uint64)
-    parts = (data & 127).astype(np.uint64) << shift
-    return np.add.reduceat(parts, start).astype(np.int64) if len(end) else np.empty(0, np.int64)
-
-
-def _block(number: int, docs: list[tuple[int | None, str | None]], find: Callable[[str], list[str]]) -> pa.RecordBatch:
-    """The exploded rows of one block: each distinct pre-token with its places (differences), and a row of documents with the ends of each."""
+@functools.cache
+def _latin_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of the first 256 characters, with its classes spelled out; None if it has others than letters, digits and white space."""
+    classes = {"\\p{L}": _LETTERS, "\\p{N}": _DIGITS, "\\s": _BLANKS}
+    parts = re.split(r"(\[[^\]]*\])", pattern)
+    for i, part in enumerate(parts):
+        for name, members in classes.items():
+            part = part.replace(name, members if i % 2 else f"[{members}]")
+        parts[i] = part.replace("\\S", f"[^{_BLANKS}]") if not i % 2 else part
+    plain = "".join(parts)
+    known = plain.replace(_BLANKS, "")
+    return None if "\\" in known or "(?i" in known else re.compile(plain)
+
+
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """What cuts a text into pre-tokens."""
+    latin, every = _latin_pattern(pattern), _pattern(pattern).findall
+    if latin is None:
+        return every
+
+    def cut(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return every(text)
+        return latin.findall(text)
+
+    return cut
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 up, compressed: their lowest bytes, then the next ones, as many as are needed."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    """The numbers of :func:`squeeze`."""
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((8, n), np.uint8)
+    out[:width] = np.frombuffer(pa.decompress(data[9:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(out.T).view("<u8").reshape(-1).astype(np.int64)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Byte strings, compressed: their sizes, then their bytes."""
+    sizes, body = squeeze(np.fromiter(map(len, words), np.int64, len(words))), b"".join(words)
+    return len(sizes).to_bytes(8, "little") + len(body).to_bytes(8, "little") + sizes + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    """The byte strings of :func:`pack_words`."""
+    n, size = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    body = pa.decompress(data[16 + n:], size, "zstd", asbytes=True)
+    ends = np.cumsum(unsqueeze(data[16:16 + n])).tolist()
+    return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def _block(number: int, docs: list[tuple[int | None, str | None]], cut: Callable[[str], list[str]], buckets: int) -> pa.RecordBatch:
+    """A block: what it sends to each bucket, and a row (bucket -1) of its documents, their ends, all places, and the bucket of each word."""
     numbers: dict[str, int] = defaultdict(itertools.count().__next__)
     parts, ends, total = [], [], 0
     for _, text in docs:
-        got = find(text) if text else []
+        got = cut(text) if text else []
         parts.append(np.fromiter(map(numbers.__getitem__, got), np.int32, len(got)))
         total += len(got)
         ends.append(total)
-    seq = np.concatenate(parts)
-    order = np.argsort(seq, kind="stable")
-    begin = np.searchsorted(seq[order], np.arange(len(numbers)))
-    step = np.diff(order, prepend=0)
-    step[begin] = order[begin]
-    at, packed = np.append(begin, total), pack_numbers(step)
-    # Where the places of a word begin in bytes.
-    cut = np.concatenate([[0], np.cumsum(1 + sum((step >= 1 << 7 * i).astype(np.int64) for i in range(1, 5)))])[at]
-    n = len(numbers)
-    places = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())
-    words = pa.array([w.encode() for w in numbers], pa.binary())
+    found = np.concatenate(parts)
+    # Frequent words have small numbers, which take fewer bytes.
+    order = np.argsort(-np.bincount(found, minlength=len(numbers)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    words = [w.encode() for w in numbers]
+    words = [words[i] for i in order.tolist()]
+    home = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
+    by_home = np.argsort(home, kind="stable")
+    used, first = np.unique(home[by_home], return_index=True)
+    sent = [pack_words([words[i] for i in own.tolist()]) for own in np.split(by_home, first[1:])] if len(used) else []
+    n = len(used)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(n + 1, number)), pa.array(np.arange(-1, n, dtype=np.int32)), pa.concat_arrays([pa.array([None], pa.binary()), words]),
-        pa.concat_arrays([pa.array([None], pa.binary()), places]), pa.array([[d for d, _ in docs], *[None] * n], pa.list_(pa.int64())),
-        pa.array([ends, *[None] * n], pa.list_(pa.int64()))], names=["block", "word_no", "word", "places", "doc_ids", "ends"])
+        pa.array(np.full(n + 1, number)), pa.array(np.concatenate([[-1], used]).astype(np.int32)), pa.array([squeeze(rank[found]), *sent], pa.binary()),
+        pa.array([squeeze(home), *[None] * n], pa.binary()), pa.array([[d for d, _ in docs], *[None] * n], pa.list_(pa.int64())),
+        pa.array([ends, *[None] * n], pa.list_(pa.int64()))], names=["block", "bucket", "payload", "buckets", "doc_ids", "ends"])
 
 
-def explode_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """Blocks of documents (doc_id, text) as rows of distinct pre-tokens with their places."""
+def explode_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """Blocks of documents (doc_id, text) as rows of their distinct pre-tokens by bucket, and a row of places each."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _pattern(pattern).findall
+        cut = cutter(pattern)
         numbers = itertools.count(TaskContext.get().partitionId() << 36)
         held, size = [], 0
         for b in batches:
@@ -114,62 +159,62 @@ def explode_words(docs: DataFrame, pattern: str) -> DataFrame:
                 held.append((doc_id, text.as_py()))
                 size += len(held[-1][1] or "")
                 if size >= BLOCK or len(held) >= BLOCK_DOCS:
-                    yield _block(next(numbers), held, find)
+                    yield _block(next(numbers), held, cut, buckets)
                     held, size = [], 0
         if held:
-            yield _block(next(numbers), held, find)
+            yield _block(next(numbers), held, cut, buckets)
 
     return docs.mapInArrow(explode, EXPLODED)
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """word and ids (32-bit unsigned numbers, little-endian) of distinct pre-tokens."""
+    """What blocks sent (rows of block, bucket and packed words, those of a bucket one after the other) with ids in place of words.
+
+    Each word of a bucket is encoded when it comes for the first time; what is held is the vocabulary of one bucket.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _library(path, pattern)._encode_single_piece
+        bucket, known = None, {}
         for b in batches:
-            ids = [np.array(one(w), "<u4").tobytes() for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
-
-    return words.mapInArrow(encode, "word binary, ids binary")
-
-
-def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a binary column and the size of each value."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.cast(pa.large_binary()).combine_chunks()
-        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    else:
-        column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.empty(0, np.uint8), np.diff(at)
-
-
-def _reassembled(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Documents of a block, all their ids, and where each document's begin (one more)."""
-    head = rows.filter(pa.compute.equal(rows["word_no"], -1))
-    words = rows.filter(pa.compute.greater_equal(rows["word_no"], 0))
-    ends = np.array(head["ends"][0].as_py(), np.int64)
-    keys = head["doc_ids"].combine_chunks().flatten()
-    packed, size = _flat(words["places"])
-    step = unpack_numbers(packed)
-    # How many places each word has: ends of numbers within its bytes.
-    finished = np.concatenate([[0], np.cumsum(packed < 128)])
-    byte_end = np.cumsum(size)
-    count = finished[byte_end] - finished[byte_end - size]
-    first = np.cumsum(count) - count
-    total = np.cumsum(step)
-    place = total - np.repeat(total[first] - step[first], count)
-    pool, id_bytes = _flat(words["ids"])
-    pool, n_ids = pool.view("<u4"), id_bytes // 4
-    word_of = np.empty(len(place), np.int64)
-    word_of[place] = np.repeat(np.arange(len(count)), count)
-    per = n_ids[word_of]
-    at = np.concatenate([[0], np.cumsum(per)])
-    begin = (np.cumsum(n_ids) - n_ids)[word_of]
-    ids = pool[np.repeat(begin - at[:-1], per) + np.arange(at[-1])]
-    return keys, ids, at[np.concatenate([[0], ends])]
+            out = []
+            for own, payload in zip(b.column("bucket").to_pylist(), b.column("payload"), strict=True):
+                if own != bucket:
+                    bucket, known = own, {}
+                ids = []
+                for w in unpack_words(payload.as_py()):
+                    if (got := known.get(w)) is None:
+                        got = known[w] = one(w)
+                    ids.append(got)
+                sizes = squeeze(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
+                out.append(len(sizes).to_bytes(8, "little") + sizes + squeeze(flat))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary())], names=["of_block", "number", "ids"])
+
+    return words.mapInArrow(encode, "of_block long, number int, ids binary")
+
+
+def _reassembled(block: dict, answers: list[bytes]) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Documents of a block, all their ids, and where each document's begin (one more); ``answers`` are in order of buckets."""
+    seq, home, ends = unsqueeze(block["payload"]), unsqueeze(block["buckets"]), np.array(block["ends"], np.int64)
+    sizes, flats = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a in answers:
+        n = int.from_bytes(a[:8], "little")
+        sizes.append(unsqueeze(a[8:8 + n]))
+        flats.append(unsqueeze(a[8 + n:]))
+    size, pool = np.concatenate(sizes), np.concatenate(flats).astype(np.int32)
+    # Words came back bucket by bucket.
+    by_home = np.argsort(home, kind="stable")
+    begin = np.empty(len(home), np.int64)
+    begin[by_home] = np.cumsum(size) - size
+    n_ids = np.empty(len(home), np.int64)
+    n_ids[by_home] = size
+    at, out = np.concatenate([[0], np.cumsum(n_ids[seq])]), []
+    for first in range(0, len(seq), 1 << 20):
+        part = seq[first:first + (1 << 20)]
+        per = n_ids[part]
+        out.append(pool[np.repeat(begin[part] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))])
+    return block["doc_ids"], np.concatenate(out) if out else pool[:0], at[np.concatenate([[0], ends])]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,26 +225,18 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     """
     folder = new_folder(docs.sparkSession, "byte-bpe")
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    exploded = _zipped(explode_words(plain, pattern), folder, "exploded")
-    words = exploded.where("word is not null").select("word")
-    known = written(encode_words(words.distinct(), path, pattern), folder, "words")
-    numbered = exploded.where("word is not null").select("block", "word_no", "word").join(known, "word")
-    numbered = numbered.select(F.col("block").alias("of_block"), F.col("word_no").alias("number"), "ids")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(size // BUCKET_BYTES) + 1
+    exploded = written(explode_words(plain, pattern, buckets), folder, "exploded")
+    words = exploded.where("bucket >= 0").select("block", "bucket", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    answers = encode_words(words, path, pattern)
 
     def gather(places: pa.Table, ids: pa.Table) -> pa.Table:
-        rows = places.sort_by("word_no")
-        ids = pa.concat_tables([pa.table({"ids": pa.array([b""], pa.binary())}), ids.sort_by("number").select(["ids"]).cast(pa.schema([("ids", pa.binary())]))])
-        keys, flat, at = _reassembled(rows.append_column("ids", ids["ids"]))
-        return pa.table({"doc_id": keys, "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))})
-
-    left = exploded.select("block", "word_no", "places", "doc_ids", "ends")
-    return left.groupBy("block").cogroup(numbered.groupBy("of_block")).applyInArrow(gather, "doc_id long, ids array<int>")
+        keys, flat, at = _reassembled(places.to_pylist()[0], ids.sort_by("number")["ids"].to_pylist())
+        return pa.table({"doc_id": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))})
 
-
-def _zipped(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Written with the denser compression, since most of it are numbers without repeats."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    left = exploded.where("bucket = -1").select("block", "payload", "buckets", "doc_ids", "ends")
+    return left.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(gather, "doc_id long, ids array<int>")
 
 
 def token_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -207,6 +244,15 @@ def token_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(t)) for t, i in ranks(path).items()], "id int, token binary")
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column and the size of each value."""
+    column = column.cast(pa.large_binary()).combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.empty(0, np.uint8), np.diff(at)
+
+
 def decode(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
     """``encoded`` (with ids, an array of int) with the column ``decoded``: the bytes of its ids, one after the other.
 

@@ -73,11 +73,12 @@ def library():
 @pytest.mark.parametrize("block", [1 << 22, 300])
 def test_byte_bpe_equals_library(spark, edge_docs, no_docs, library, monkeypatch, block):
     monkeypatch.setattr(byte_bpe, "BLOCK", block)
+    monkeypatch.setattr(byte_bpe, "BUCKET_BYTES", block * 4)
     draw = random.Random(3)
     texts = ["it's we'll I'D 'sx ''s don''t", "  a   b\n\n\t c ", " ", "\n", "a" * 3000, "\x1c\x1d\x85 x", "٣ Ⅷ ½ x²", "é é 중文 👍🏽 \U0001d54f", "<|endoftext|>", "ab" * 5000 + " ab", None, ""]
     texts += ["".join(chr(draw.choice([draw.randrange(32, 127), draw.randrange(0x20, 0x3000), draw.randrange(0xE000, 0x110000)])) for _ in range(draw.randrange(200))) for _ in range(60)]
     docs = [(draw.choice([None, i, 7]), t) for i, t in enumerate(texts)] + [(7, "same"), (7, "same")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block", "'w' as word", "3 as ids", "4 as ends").repartition(3)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block", "'w' as bucket", "3 as ids", "4 as ends").repartition(3)
     tokens = byte_bpe.token_bytes(spark, RANKS)
     for df, rows in ((frame, docs), (edge_docs, [(r.doc_id, r.text) for r in edge_docs.collect()])):
         got = byte_bpe.decode(byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN), tokens)
@@ -105,11 +106,20 @@ def test_decoding_of_other_ids(spark):
     assert byte_bpe.decode(rows.limit(0), tokens.limit(0)).count() == 0
 
 
-def test_packed_numbers():
-    values = np.array([0, 1, 127, 128, 16383, 16384, 2**31, 2**35 - 1, 0, 300])
-    packed = byte_bpe.pack_numbers(values)
-    assert byte_bpe.unpack_numbers(np.frombuffer(packed, np.uint8)).tolist() == values.tolist()
-    assert byte_bpe.unpack_numbers(np.empty(0, np.uint8)).tolist() == []
+def test_packed_rows():
+    for values in ([], [0], [0, 1, 127, 255, 256, 65536, 2**40, 3]):
+        assert byte_bpe.unsqueeze(byte_bpe.squeeze(np.array(values, np.int64))).tolist() == values
+    for words in ([], [b""], [b"a", b"", b"\xff\x00 b", b"c" * 300]):
+        assert byte_bpe.unpack_words(byte_bpe.pack_words(words)) == words
+
+
+def test_latin_texts_are_cut_alike():
+    draw = random.Random(1)
+    every, cut = byte_bpe._pattern(public_tokenizers.PATTERN).findall, byte_bpe.cutter(public_tokenizers.PATTERN)
+    assert byte_bpe._latin_pattern(public_tokenizers.PATTERN) is not None and byte_bpe._latin_pattern(r"\p{Lu}+|.") is None
+    for _ in range(500):
+        text = "".join(chr(draw.choice([draw.randrange(256), draw.choice([32, 39, 115, 116, 10])])) for _ in range(300))
+        assert cut(text) == every(text)
 
 
 def clustered(rows, k=16, rounds=3):
