@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import new_folder, written
+from palimpsest.llm.shared import drop_tables, new_folder, written
 
 #: Copies of one text that are joined by broadcast: texts of at least this share of all rows, so there are at most as many.
 HOT_SHARE = 1024
@@ -48,29 +48,33 @@ def later_copies(rows: DataFrame, folder: str) -> DataFrame:
     return in_hot.unionByName(in_rest).where("doc_id > first").select("rid")
 
 
-def removals(failing: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+def removals(failing: DataFrame, tables: Mapping[str, DataFrame], folder: str) -> DataFrame:
     """Counts by part, label, filter and set of filters before it: ``removed`` by it and ``redundant`` (failing it, removed before).
 
     ``failing`` has filter, rid, part and label; ``tables`` has the failing ids of each filter. A set is the sum of 2 to the number of each filter in it.
+    What is left after each filter is written to ``folder``, so every step is one small plan.
     """
     names = list(tables)
     keys = ["part", "label", "filter", "before"]
-    rows, absorbed = failing.withColumn("before", F.lit(0)), []
+    bits = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)])
+    zero = F.lit(0).cast("long")
+    rows, counts = failing.withColumn("before", F.lit(0)), []
     for i, name in enumerate(names):
         sets = F.when(F.col("filter") == name, F.array("before")).otherwise(F.array("before", F.col("before") + (1 << i)))
-        rows = rows.select("part", "label", "filter", "rid", F.explode(sets).alias("before"))
+        grown = rows.select("part", "label", "filter", "rid", F.explode(sets).alias("before"))
         own = tables[name].select(F.col("rid").alias("own"))
         meets = (F.col("rid") == F.col("own")) & (F.col("before").bitwiseAND(1 << i) != 0)
         # What this filter takes is taken for all sets that add later filters.
         later = [sum(c) for k in range(len(names) - i) for c in itertools.combinations([1 << j for j in range(i + 1, len(names))], k)]
-        took = rows.join(own, meets, "left_semi").groupBy(*keys).count()
-        took = took.withColumn("more", F.explode(F.array(*map(F.lit, later))))
-        number = F.array_position(F.array(*map(F.lit, names)), F.col("filter")).cast("int") - 1
-        took = took.where(F.col("more").bitwiseAND(F.call_function("shiftleft", F.lit(1), number)) == 0)
-        absorbed.append(took.select("part", "label", "filter", (F.col("before") + F.col("more")).alias("before"), F.lit(0).cast("long").alias("removed"), F.col("count").alias("redundant")))
-        rows = rows.join(own, meets, "left_anti")
-    out = rows.groupBy(*keys).count().select(*keys, F.col("count").alias("removed"), F.lit(0).cast("long").alias("redundant"))
-    for took in absorbed:
+        took = grown.join(own, meets, "left_semi").groupBy(*keys).count().withColumn("more", F.explode(F.array(*map(F.lit, later))))
+        took = took.where(F.col("more").bitwiseAND(bits[F.col("filter")]) == 0)
+        took = took.select("part", "label", "filter", (F.col("before") + F.col("more")).alias("before"), zero.alias("removed"), F.col("count").alias("redundant"))
+        counts.append(written(took, folder, f"taken_{name}"))
+        rows = written(grown.join(own, meets, "left_anti"), folder, f"after_{name}")
+        if i:
+            drop_tables(rows.sparkSession, folder, f"after_{names[i - 1]}")
+    out = rows.groupBy(*keys).count().select(*keys, F.col("count").alias("removed"), zero.alias("redundant"))
+    for took in counts:
         out = out.unionByName(took)
     return out.groupBy(*keys).agg(F.sum("removed").alias("removed"), F.sum("redundant").alias("redundant"))
 
@@ -101,7 +105,8 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for kind, flag in (("good", F.col("quality") == 1), ("toxic", F.col("toxic") == 1)):
         ids = labels.where(flag & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
         kinds = kinds.unionByName(failing.join(ids, "doc_id", "left_semi").select("filter", "rid", "part", F.lit(kind).alias("label")))
-    counts = removals(kinds, tables).groupBy("part", "filter", "before").pivot("label", ["all", "good", "toxic"]).agg(F.sum("removed").alias("removed"), F.sum("redundant").alias("redundant"))
+    by_label = [F.sum(F.when(F.col("label") == kind, F.col(c))).alias(f"{kind}_{c}") for kind in ("all", "good", "toxic") for c in ("removed", "redundant")]
+    counts = removals(written(kinds, folder, "failing"), tables, folder).groupBy("part", "filter", "before").agg(*by_label)
     return _orders(rows.groupBy("part").agg(F.count("*").alias("n_docs")), written(counts, folder, "counts"), names)
 
 
