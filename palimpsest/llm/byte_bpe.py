@@ -33,6 +33,8 @@ BLOCK = 1 << 23
 BLOCK_DOCS = 20_000
 #: Bytes of text for each bucket of words: a worker holds the distinct words of one bucket at a time.
 BUCKET_BYTES = 1 << 24
+#: Ids that are turned into bytes at a time.
+PART_IDS = 1 << 18
 
 EXPLODED = "block long, bucket int, payload binary, buckets binary, doc_ids array<long>, ends array<long>"
 
@@ -271,19 +273,26 @@ def decode(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, size, begin, pool = sent.value
+
+        def some(ids: np.ndarray) -> np.ndarray:
+            per = size[ids]
+            return pool[np.repeat(begin[ids] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))]
+
+        def one(ids: pa.Array | None) -> bytes | None:
+            if ids is None:
+                return None
+            ids = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+            out = []
+            for first in range(0, len(ids), PART_IDS):
+                part = ids[first:first + PART_IDS]
+                known = table[np.where((part >= 0) & (part < len(table)), part, len(table) - 1)]
+                if (known < 0).any():
+                    return None
+                out.append(some(known).tobytes())
+            return b"".join(out)
+
         for b in batches:
-            column = b.column(names.index("ids"))
-            flat, n = column.flatten(), column.value_lengths().fill_null(0).to_numpy()
-            ids = flat.fill_null(-1).to_numpy(zero_copy_only=False)
-            known = table[np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)]
-            per = size[known]
-            total = np.concatenate([[0], np.cumsum(per)])
-            data = pool[np.repeat(begin[known] - total[:-1], per) + np.arange(total[-1])]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            lost = np.concatenate([[0], np.cumsum(known < 0)])
-            wrong = (lost[ends[1:]] > lost[ends[:-1]]) | column.is_null().to_numpy(zero_copy_only=False)
-            at = total[ends]
-            out = pa.array([None if w else data[s:e].tobytes() for s, e, w in zip(at[:-1], at[1:], wrong, strict=True)], pa.binary())
+            out = pa.array([one(x.values) for x in b.column(names.index("ids"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*names, "decoded"])
 
     return encoded.mapInArrow(join, schema)
