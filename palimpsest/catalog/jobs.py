@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import query
 from palimpsest.catalog import sqlparts as S
+from palimpsest.functions.text import norm_for_signature
+from palimpsest.operators import align
 from palimpsest.operators import jobs as jb
+from palimpsest.operators import structure as st
+from palimpsest.operators.scan import chunk_for
 from palimpsest.plans import compare as cp
 from palimpsest.plans import fixtures as fx
-from palimpsest.session import ensure_checkpoint_dir
+from palimpsest.session import cut_lineage, ensure_checkpoint_dir
 from palimpsest.streaming import pairs as sp
 
 LATEST = S.with_(S.JOBLOG) + """, js as (select job_id, max_by(username, (ts, event_id)) as username, max_by(status, (ts, event_id)) as status,
@@ -72,16 +76,35 @@ def _shared(spark) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _in_pieces(spark, nodes, base) -> None:
+    """Rows in four file sets: the sides of a pair lie in different ones, and some pairs are cut inside a side."""
+    piece = (F.col("pair_id") + F.when(F.col("side") == "B", 1).otherwise(0) + F.when((F.col("pair_id") % 3 == 0) & (F.col("ord") % 2 == 1), 2).otherwise(0)) % 4
+    rows = cut_lineage(sp.announced(nodes).withColumn("piece", piece))
+    for part in range(4):
+        rows.filter(F.col("piece") == part).drop("piece").coalesce(8).write.mode("append").parquet(f"{base}/in")
+
+
 @query("x1_streaming_compare")
 def streaming_compare(spark, sf):
-    """Pairs arriving in four file sets, compared once each."""
+    """Pairs arriving in four file sets, no pair whole in one of them, compared once each."""
     base = _shared(spark)
-    nodes = cp.line_nodes(fx.line_versions(spark, sf))
-    for part in range(4):
-        nodes.filter(F.col("pair_id") % 4 == part).select("pair_id", "side", F.col("ord").cast("int"), "uid", "type", "level", "text").coalesce(
-            8).write.mode("append").parquet(f"{base}/in")
-    q = sp.compare_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
-    q.awaitTermination()
+    _in_pieces(spark, cp.line_nodes(fx.line_versions(spark, sf)), base)
+    sp.compare_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", files_per_batch=8).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+@query("x1_streamed_opcodes", S.with_(S.LINES, S.LINE_BLOCKS, S.align_sql("lblk", ["pair_id"], "q"), recursive=True)
+       + "select pair_id, tag, i1, i2, j1, j2 from qops")
+def streamed_opcodes(spark, sf):
+    """Opcodes of pairs that arrive in pieces, file by file."""
+    base = _shared(spark)
+    _in_pieces(spark, cp.line_nodes(fx.line_versions(spark, sf)), base)
+
+    def opcodes(nodes):
+        kept = nodes.withColumn("key", norm_for_signature(F.col("text"))).filter("key <> ''")
+        return align.opcodes(st.number_blocks(kept, ["pair_id", "side"], chunk_for(kept, ["pair_id", "side"])), ["pair_id"])
+
+    sp.compare_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", files_per_batch=5, compare=opcodes).awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 

@@ -1,28 +1,125 @@
-"""Comparison of pairs that arrive as files, and the latest state of jobs on a stream."""
+"""Comparison of pairs that arrive in pieces, and the latest state of jobs on a stream."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from palimpsest.plans.compare import compare_text
 
 LINES = "pair_id BIGINT, side STRING, ord INT, uid STRING, type STRING, level INT, text STRING"
+#: Every arriving row tells how many rows its pair has on either side.
+ANNOUNCED = f"{LINES}, a_rows BIGINT, b_rows BIGINT"
+COLUMNS = [c.split()[0] for c in LINES.split(", ")]
+#: Rows handed on at a time.
+CHUNK = 10_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def announced(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the number of rows of either side of its pair, as a writer of pieces has to state them."""
+    n = nodes.groupBy("pair_id").agg(F.count_if(F.col("side") == "A").alias("a_rows"), F.count_if(F.col("side") == "B").alias("b_rows"))
+    return nodes.join(n, "pair_id").select(*COLUMNS[:2], F.col("ord").cast("int"), *COLUMNS[3:], "a_rows", "b_rows")
+
+
+class WholePairs(StatefulProcessor):
+    """Holds the rows of a pair until as many as announced are there on both sides, then hands them on at once.
+
+    A pair that isn't whole ``wait_ms`` after its last rows came leaves as it is, with ``complete`` false. Rows are appended to a list in the state store, so
+    a batch reads the rows of a pair only when it closes; the counts are a value of their own. Rows that come after their pair has left start it anew.
+    """
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", LINES)
+        self.counts = handle.getValueState("counts", "a BIGINT, b BIGINT, a_rows BIGINT, b_rows BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        a, b, a_rows, b_rows = self.counts.get() if self.counts.exists() else (0, 0, None, None)
+        for part in rows:
+            a, b = a + int((part["side"] == "A").sum()), b + int((part["side"] == "B").sum())
+            a_rows, b_rows = int(part["a_rows"].iloc[0]), int(part["b_rows"].iloc[0])
+            part = part[COLUMNS].astype(object)
+            self.rows.appendList([tuple(r) for r in part.where(part.notna(), None).itertuples(index=False)])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if a >= a_rows and b >= b_rows:
+            yield from self._leave(True)
+        else:
+            self.counts.update((a, b, a_rows, b_rows))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._leave(False)
+
+    def _leave(self, complete: bool) -> Iterator[pd.DataFrame]:
+        held = []
+        for row in self.rows.get():
+            held.append((*row, complete))
+            if len(held) == CHUNK:
+                yield _frame(held)
+                held = []
+        if held:
+            yield _frame(held)
+        self.rows.clear()
+        self.counts.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[*COLUMNS, "complete"]).astype({"ord": "Int32", "level": "Int32"})
+
+
+def whole_pairs(rows: DataFrame, wait_ms: int) -> DataFrame:
+    """A stream of rows as announced (``ANNOUNCED``) to a stream of the rows of whole pairs, and with ``complete`` false of those given up."""
+    return rows.groupBy("pair_id").transformWithStateInPandas(
+        statefulProcessor=WholePairs(wait_ms), outputStructType=f"{LINES}, complete BOOLEAN", outputMode="Append", timeMode="ProcessingTime")
 
 
-def compare_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_batch: int = 1000):
-    """Compare every arriving pair once.
+def compare_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, files_per_batch: int = 1000, wait_ms: int = 3_600_000,
+                   compare: Callable[[DataFrame], DataFrame] | None = None, once: bool = True):
+    """Compare every arriving pair once, however its rows are dealt over files and batches.
 
-    A pair arrives whole within one file set (the writer commits both sides together).  Each micro-batch writes to its
-    own folder named by the batch id, so a batch that is run again after a failure replaces its own output.
+    Rows of incomplete pairs wait in keyed state. Each batch keeps what closed in it as a table, which ``compare`` reads (by default the summary of a text
+    comparison); result and pairs given up (``incomplete``) have a folder named by the batch, so a batch that is run again after a failure replaces its own
+    output. With ``once`` the query ends when it has read what is there, and a pair is given up by the next run that reads something; otherwise it goes on.
     """
-    nodes = spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    compare = compare or (lambda nodes: compare_text(nodes).summary)
+    rows = spark.readStream.schema(ANNOUNCED).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        result = compare_text(batch)
-        result.summary.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        own = f"{checkpoint}/closed/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(own)
+        closed = batch.sparkSession.read.schema(batch.schema).parquet(own)
+        whole, given_up = closed.filter("complete").drop("complete"), closed.filter("not complete").drop("complete")
+        if not whole.isEmpty():
+            compare(whole).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        if not given_up.isEmpty():
+            given_up.write.mode("overwrite").parquet(f"{sink}-incomplete/batch_id={batch_id}")
 
-    return nodes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # several kinds of state per key need this store; what is there now ends without waiting for timers. A query keeps the settings it was started with.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": str(not once).lower()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        out = whole_pairs(rows, wait_ms).writeStream.foreachBatch(one).option("checkpointLocation", f"{checkpoint}/query")
+        return (out.trigger(availableNow=True) if once else out.trigger(processingTime="10 seconds")).start()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def latest_status(log: DataFrame) -> DataFrame:
