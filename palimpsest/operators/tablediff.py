@@ -6,6 +6,8 @@ All table pairs of all documents go through every step together.  ``cells`` carr
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -184,13 +186,13 @@ def visible_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     return tb.logical_rows(cells.withColumn("norm", normalized(cells)), [*keys, "side"])
 
 
-def cell_pairs(pairs: DataFrame, cells: DataFrame, keys: list[str], mapping: DataFrame | None = None) -> DataFrame:
+def cell_pairs(pairs: DataFrame, cells: DataFrame, keys: list[str], mapping: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Cells of paired rows side by side, by column or through ``mapping`` where the pair has one (``a_col, b_col``).
 
-    Spanning cells are visible in every row they reach.  Columns outside a mapping are not compared.
+    Spanning cells are visible in every row they reach.  Columns outside a mapping are not compared.  ``extra`` names columns that cells carry along.
     """
     v = visible_cells(cells, keys)
-    cell = F.struct("norm", "row_span", "col_span", "anchor_row")
+    cell = F.struct("norm", "row_span", "col_span", "anchor_row", *extra)
     p = pairs.filter("kind = 'pair'").select(*keys, "a_row", "b_row")
     left = v.filter("side = 'A'").select(*keys, F.col("row").alias("a_row"), F.col("anchor_col").alias("col"), cell.alias("x"))
     right = v.filter("side = 'B'").select(*keys, F.col("row").alias("b_row"), F.col("anchor_col").alias("col"), cell.alias("y"))
@@ -273,23 +275,44 @@ def one_sided_mode(has_a: Column, has_b: Column) -> Column:
     return F.when(has_a & ~has_b, "table_deleted").when(has_b & ~has_a, "table_added")
 
 
-def diff_tables(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Row changes and render modes of all table pairs that have both sides."""
-    # texts are normalized once; every step below reads the result
-    cells = cut_lineage(cells.withColumn("norm", norm_text(F.col("text"))).withColumn(
-        "deep", F.col("deep") if "deep" in cells.columns else F.col("norm")))
+@dataclass
+class Steps:
+    """What the comparison of table pairs finds before it looks into cells."""
+
+    structure: DataFrame
+    rows: DataFrame
+    pairs: DataFrame
+    cells: DataFrame
+
+
+def table_steps(cells: DataFrame, keys: list[str], extra: tuple[str, ...] = ()) -> Steps:
+    """Structure, numbered rows, row pairs and cell pairs of all table pairs; ``cells`` has ``norm`` and ``deep``."""
     mapping = cut_lineage(header_map(cells, keys))
     structure = cut_lineage(structure_change(cells, mapping, keys))
     rows = cut_lineage(anchor_rows(cells, keys))
     pairs = cut_lineage(row_pairs(rows, keys))
     # the header map steers columns only where the structure changed
     steer = mapping.join(structure.filter("structure_changed and has_map").select(*keys), keys, "left_semi")
-    changed = cell_changes(cell_pairs(pairs, cells, keys, steer))
-    ch = cut_lineage(row_changes(pairs, changed, rows, keys))
-    # row states are wanted only where nothing but the structure changed
-    quiet = structure.filter("structure_changed").join(ch.select(*keys).distinct(), keys, "left_anti").select(*keys)
-    shares = unchanged_share(row_states(rows.join(quiet, keys, "left_semi"), keys), keys)
-    return ch, render_modes(ch, structure, shares, keys)
+    return Steps(structure, rows, pairs, cell_pairs(pairs, cells, keys, steer, extra))
+
+
+def shown_modes(changes: DataFrame, steps: Steps, keys: list[str]) -> DataFrame:
+    """Render modes; row states are wanted only where nothing but the structure changed."""
+    quiet = steps.structure.filter("structure_changed").join(changes.select(*keys).distinct(), keys, "left_anti").select(*keys)
+    shares = unchanged_share(row_states(steps.rows.join(quiet, keys, "left_semi"), keys), keys)
+    return render_modes(changes, steps.structure, shares, keys)
+
+
+def with_texts(cells: DataFrame) -> DataFrame:
+    """Texts are normalized once; every later step reads the result."""
+    return cells.withColumn("norm", norm_text(F.col("text"))).withColumn("deep", F.col("deep") if "deep" in cells.columns else F.col("norm"))
+
+
+def diff_tables(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Row changes and render modes of all table pairs that have both sides, by the texts of their cells."""
+    steps = table_steps(cut_lineage(with_texts(cells)), keys)
+    ch = cut_lineage(row_changes(steps.pairs, cell_changes(steps.cells), steps.rows, keys))
+    return ch, shown_modes(ch, steps, keys)
 
 
 # ---- inside cells -----------------------------------------------------------------------------------------------
@@ -316,7 +339,8 @@ def interleave(changes: DataFrame, keys: list[str]) -> DataFrame:
     equal = F.col("type").endswith("_unchanged") | F.col("type").endswith("_equal")
     c = changes.filter(~equal).withColumn("_at", F.coalesce("a_pos", "b_pos").cast("long"))
     c = number_rows(c, keys, "_at", "n", tie=["source", "a_pos", "b_pos"])
-    return c.select(*keys, F.col("n").cast("int").alias("n"), "type", "a_pos", "b_pos")
+    rest = [x for x in changes.columns if x not in (*keys, "type", "source", "a_pos", "b_pos")]
+    return c.select(*keys, F.col("n").cast("int").alias("n"), "type", "a_pos", "b_pos", *rest)
 
 
 def nested_case(a_nested: Column, b_nested: Column, a_flat: Column, b_flat: Column, a_text: Column, b_text: Column) -> Column:
