@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from palimpsest.llm.shared import new_folder, written
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Documents in a block, at most.
 BLOCK_DOCS = 20_000
 #: Bytes of text for each bucket of words: a worker holds the distinct words of one bucket at a time.
@@ -36,7 +35,8 @@ BUCKET_BYTES = 1 << 24
 #: Ids that are turned into bytes at a time.
 PART_IDS = 1 << 18
 
-EXPLODED = "block long, bucket int, payload binary, buckets binary, doc_ids array<long>, ends array<long>"
+SENT = "block long, bucket int, check long, payload binary"
+PLACED = "block long, check long, payload binary, buckets binary, doc_ids array<long>, ends array<long>"
 
 # Letters, digits and white space among the first 256 characters.
 _LETTERS, _DIGITS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
@@ -122,51 +122,73 @@ def unpack_words(data: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-def _block(number: int, docs: list[tuple[int | None, str | None]], cut: Callable[[str], list[str]], buckets: int) -> pa.RecordBatch:
-    """A block: what it sends to each bucket, and a row (bucket -1) of its documents, their ends, all places, and the bucket of each word."""
-    numbers: dict[str, int] = defaultdict(itertools.count().__next__)
-    parts, ends, total = [], [], 0
-    for _, text in docs:
-        got = cut(text) if text else []
-        parts.append(np.fromiter(map(numbers.__getitem__, got), np.int32, len(got)))
-        total += len(got)
-        ends.append(total)
-    found = np.concatenate(parts)
-    # Frequent words have small numbers, which take fewer bytes.
-    order = np.argsort(-np.bincount(found, minlength=len(numbers)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    words = [w.encode() for w in numbers]
-    words = [words[i] for i in order.tolist()]
-    home = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
-    by_home = np.argsort(home, kind="stable")
-    used, first = np.unique(home[by_home], return_index=True)
-    sent = [pack_words([words[i] for i in own.tolist()]) for own in np.split(by_home, first[1:])] if len(used) else []
-    n = len(used)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.full(n + 1, number)), pa.array(np.concatenate([[-1], used]).astype(np.int32)), pa.array([squeeze(rank[found]), *sent], pa.binary()),
-        pa.array([squeeze(home), *[None] * n], pa.binary()), pa.array([[d for d, _ in docs], *[None] * n], pa.list_(pa.int64())),
-        pa.array([ends, *[None] * n], pa.list_(pa.int64()))], names=["block", "bucket", "payload", "buckets", "doc_ids", "ends"])
-
-
-def explode_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """Blocks of documents (doc_id, text) as rows of their distinct pre-tokens by bucket, and a row of places each."""
+class Block:
+    """Documents in a row: their distinct pre-tokens, frequent ones first, the bucket of each, and the places of all."""
+
+    def __init__(self, docs: list[tuple[int | None, str | None]], cut: Callable[[str], list[str]], buckets: int):
+        numbers: dict[str, int] = defaultdict(itertools.count().__next__)
+        parts, total = [], 0
+        self.ends, self.check = [], 0
+        for _, text in docs:
+            got = cut(text) if text else []
+            parts.append(np.fromiter(map(numbers.__getitem__, got), np.int32, len(got)))
+            total += len(got)
+            self.ends.append(total)
+            self.check = zlib.crc32((text or "").encode(), self.check)
+        found = np.concatenate(parts)
+        # Frequent words have small numbers, which take fewer bytes.
+        order = np.argsort(-np.bincount(found, minlength=len(numbers)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.places = rank[found]
+        words = list(numbers)
+        self.words = [words[i].encode() for i in order.tolist()]
+        self.home = np.fromiter(map(zlib.crc32, self.words), np.int64, len(words)) % buckets
+
+    def sent(self, number: int) -> pa.RecordBatch:
+        """What it sends to each bucket: packed words."""
+        by_home = np.argsort(self.home, kind="stable")
+        used, first = np.unique(self.home[by_home], return_index=True)
+        rows = [pack_words([self.words[i] for i in own.tolist()]) for own in np.split(by_home, first[1:])] if len(used) else []
+        n = len(used)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(used.astype(np.int32)), pa.array(np.full(n, self.check)), pa.array(rows, pa.binary())],
+                                          names=["block", "bucket", "check", "payload"])
+
+    def placed(self, number: int, docs: list[tuple[int | None, str | None]]) -> pa.RecordBatch:
+        """Its documents with their ends, all places, and the bucket of each word."""
+        return pa.RecordBatch.from_arrays([
+            pa.array([number]), pa.array([self.check]), pa.array([squeeze(self.places)], pa.binary()), pa.array([squeeze(self.home)], pa.binary()),
+            pa.array([[d for d, _ in docs]], pa.list_(pa.int64())), pa.array([self.ends], pa.list_(pa.int64()))],
+            names=["block", "check", "payload", "buckets", "doc_ids", "ends"])
+
+
+def explode_words(docs: DataFrame, pattern: str, buckets: int, places: bool) -> DataFrame:
+    """Blocks of documents (doc_id, text): what each sends to the buckets, or with ``places`` what stays.
+
+    Cutting is cheaper than keeping the places of all words until the ids are there, so ``docs`` is read once for either. It has to give the same rows in the
+    same order both times, as a scan of a table does, also when a task runs again; that is checked block by block.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter(pattern)
         numbers = itertools.count(TaskContext.get().partitionId() << 36)
+
+        def made(held):
+            block = Block(held, cut, buckets)
+            return block.placed(next(numbers), held) if places else block.sent(next(numbers))
+
         held, size = [], 0
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 held.append((doc_id, text.as_py()))
                 size += len(held[-1][1] or "")
                 if size >= BLOCK or len(held) >= BLOCK_DOCS:
-                    yield _block(next(numbers), held, cut, buckets)
+                    yield made(held)
                     held, size = [], 0
         if held:
-            yield _block(next(numbers), held, cut, buckets)
+            yield made(held)
 
-    return docs.mapInArrow(explode, EXPLODED)
+    return docs.mapInArrow(explode, PLACED if places else SENT)
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -191,9 +213,10 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
                 sizes = squeeze(np.fromiter(map(len, ids), np.int64, len(ids)))
                 flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
                 out.append(len(sizes).to_bytes(8, "little") + sizes + squeeze(flat))
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary())], names=["of_block", "number", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), b.column("check"), pa.array(out, pa.binary())],
+                                             names=["of_block", "number", "of_check", "ids"])
 
-    return words.mapInArrow(encode, "of_block long, number int, ids binary")
+    return words.mapInArrow(encode, "of_block long, number int, of_check long, ids binary")
 
 
 def _reassembled(block: dict, answers: list[bytes]) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -223,21 +246,23 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     """doc_id and ids (array of int) of every document, as the library encodes ordinary text.
 
     A null or empty text has no ids; its row stays. Repeated rows and null or equal doc_ids are documents of their own. An empty table gives no rows. Other
-    columns are not read. A very long text is a block of its own and must fit one row, as it did in the source.
+    columns are not read. A very long text is a block of its own and must fit one row, as it did in the source. ``docs`` is read twice and must give the same
+    rows in the same order (see ``explode_words``), else the job stops.
     """
-    folder = new_folder(docs.sparkSession, "byte-bpe")
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // BUCKET_BYTES) + 1
-    exploded = written(explode_words(plain, pattern, buckets), folder, "exploded")
-    words = exploded.where("bucket >= 0").select("block", "bucket", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    words = explode_words(plain, pattern, buckets, places=False).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     answers = encode_words(words, path, pattern)
 
     def gather(places: pa.Table, ids: pa.Table) -> pa.Table:
-        keys, flat, at = _reassembled(places.to_pylist()[0], ids.sort_by("number")["ids"].to_pylist())
+        block = places.to_pylist()[0]
+        if any(c != block["check"] for c in ids["of_check"].to_pylist()):
+            raise RuntimeError("documents came in another order when they were read again; write them first")
+        keys, flat, at = _reassembled(block, ids.sort_by("number")["ids"].to_pylist())
         return pa.table({"doc_id": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))})
 
-    left = exploded.where("bucket = -1").select("block", "payload", "buckets", "doc_ids", "ends")
+    left = explode_words(plain, pattern, buckets, places=True)
     return left.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(gather, "doc_id long, ids array<int>")
 
 

@@ -78,7 +78,7 @@ def test_byte_bpe_equals_library(spark, edge_docs, no_docs, library, monkeypatch
     texts = ["it's we'll I'D 'sx ''s don''t", "  a   b\n\n\t c ", " ", "\n", "a" * 3000, "\x1c\x1d\x85 x", "٣ Ⅷ ½ x²", "é é 중文 👍🏽 \U0001d54f", "<|endoftext|>", "ab" * 5000 + " ab", None, ""]
     texts += ["".join(chr(draw.choice([draw.randrange(32, 127), draw.randrange(0x20, 0x3000), draw.randrange(0xE000, 0x110000)])) for _ in range(draw.randrange(200))) for _ in range(60)]
     docs = [(draw.choice([None, i, 7]), t) for i, t in enumerate(texts)] + [(7, "same"), (7, "same")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block", "'w' as bucket", "3 as ids", "4 as ends").repartition(3)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block", "'w' as bucket", "3 as ids", "4 as ends")
     tokens = byte_bpe.token_bytes(spark, RANKS)
     for df, rows in ((frame, docs), (edge_docs, [(r.doc_id, r.text) for r in edge_docs.collect()])):
         got = byte_bpe.decode(byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN), tokens)
@@ -106,6 +106,12 @@ def test_decoding_of_other_ids(spark):
     assert byte_bpe.decode(rows.limit(0), tokens.limit(0)).count() == 0
 
 
+def test_documents_in_another_order_are_noticed(spark):
+    texts = [(i, f"text {i}") for i in range(50)]
+    blocks = byte_bpe.Block(texts, byte_bpe.cutter(public_tokenizers.PATTERN), 3), byte_bpe.Block(texts[::-1], byte_bpe.cutter(public_tokenizers.PATTERN), 3)
+    assert blocks[0].check != blocks[1].check and sorted(blocks[0].words) == sorted(blocks[1].words)
+
+
 def test_packed_rows():
     for values in ([], [0], [0, 1, 127, 255, 256, 65536, 2**40, 3]):
         assert byte_bpe.unsqueeze(byte_bpe.squeeze(np.array(values, np.int64))).tolist() == values
