@@ -87,24 +87,28 @@ def diffable(children: DataFrame, keys: list[str]) -> DataFrame:
     return number_blocks(c, keys)
 
 
-def shape_changes(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Changes inside paired shapes, from ``diffable`` children of both sides.
+def shape_changes(items: DataFrame, keys: list[str], hashes: DataFrame | None = None) -> DataFrame:
+    """Changes inside paired shapes, from ``diffable`` children of both sides; images are the same if ``hashes`` (sha256, words) say so.
 
     Aligned paragraphs are still compared on their own images.  Children of a replace slice pair by position; an
     image against a paragraph is a delete and an insert.  Shapes without any change have no rows.
     """
     p = align.positional_pairs(align.opcodes(items, keys), keys)
     cols = ["type", "uid", "norm", "sha256"] + (["image_keys"] if "image_keys" in items.columns else [])
+    if hashes is not None:
+        items = items.join(hashes.select("sha256", "words").dropDuplicates(["sha256"]), "sha256", "left")
+        cols = [*cols, "words"]
     left = items.filter("side = 'A'").select(*keys, F.col("idx").alias("a"), F.struct(*cols).alias("x"))
     right = items.filter("side = 'B'").select(*keys, F.col("idx").alias("b"), F.struct(*cols).alias("y"))
     j = p.join(left, [*keys, "a"], "left").join(right, [*keys, "b"], "left")
     x, y = F.col("x"), F.col("y")
+    alike = F.coalesce(hamming(x["words"], y["words"]) <= HASH_DISTANCE, F.lit(False)) if hashes is not None else F.lit(False)
     own_images = ~x["image_keys"].eqNullSafe(y["image_keys"]) if "image_keys" in items.columns else F.lit(False)
 
     def named(side, verb_image, verb_para):
         return F.when(side["type"] == "image", f"image_{verb_image}").otherwise(f"paragraph_{verb_para}")
 
-    same = F.when(x["type"] == "image", x["sha256"].eqNullSafe(y["sha256"])).otherwise(
+    same = F.when(x["type"] == "image", x["sha256"].eqNullSafe(y["sha256"]) | alike).otherwise(
         (x["norm"] == y["norm"]) & ~own_images)
     paired = F.when(same, F.concat(x["type"], F.lit("_equal"))).otherwise(F.concat(x["type"], F.lit("_modified")))
     kinds = (F.when(F.col("kind") == "delete", F.array(named(x, "deleted", "deleted")))

@@ -118,7 +118,7 @@ def changes(ops: DataFrame, blocks: DataFrame, keys: list[str], extra: list[str]
     t = t.select(
         *keys, "seq", "i1", "j1", "k", F.concat(kind, verb).alias("type"), kind.alias("display_type"),
         change.alias("change_kind"), *[c.alias(n) for n, c in meta.items()],
-        F.least("left.ord", "right.ord").alias("ord"), "left", "right",
+        F.least("left.ord", "right.ord").alias("ord"), "left", "right", F.when(has_l, F.col("a")).alias("a"), F.when(has_r, F.col("b")).alias("b"),
         F.when((kind == "heading") & has_l & has_r, level_l != level_r).alias("level_changed"))
     return number_changes(t, keys, chunk)
 
