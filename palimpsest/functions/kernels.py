@@ -7,12 +7,13 @@ import functools
 import unicodedata
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions import runs
+
 OPCODE = T.StructType(
     [T.StructField("tag", T.StringType())] + [T.StructField(c, T.IntegerType()) for c in ("i1", "i2", "j1", "j2")]
 )
@@ -28,58 +29,15 @@ def compose(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(text.rlike("[^\\x{0}-\\x{2ff}]"), text)), text)
 
 
-SMALL = 40_000
-
-
 @functools.lru_cache(maxsize=50_000)
 def _remembered(a: str, b: str) -> float:
     """Ratios of short texts; column titles come back for table after table."""
     return _ratio(a, b)
 
 
-def _matched(a: str, b: str) -> int:
-    """Matched characters of long texts: the longest common run, then both sides of it, and so on.
-
-    Run lengths ending at (i, j) are kept for the places of one character only, so a row of the table costs one
-    short vector step; the first longest run wins, as in the small case.
-    """
-    x = np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32)
-    y = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
-    order = np.argsort(y, kind="stable")
-    letters, first = np.unique(y[order], return_index=True)
-    spots = dict(zip(letters.tolist(), np.split(order, first[1:])))
-    none = np.empty(0, dtype=np.int64)
-    total, todo = 0, [(0, len(x), 0, len(y))]
-    while todo:
-        alo, ahi, blo, bhi = todo.pop()
-        runs = np.zeros(bhi - blo + 1, dtype=np.int32)
-        last, best, bi, bj = none, 0, 0, 0
-        for i in range(alo, ahi):
-            at = spots.get(int(x[i]), none)
-            if blo > 0 or bhi < len(y):
-                at = at[np.searchsorted(at, blo):np.searchsorted(at, bhi)]
-            at = at - blo
-            grown = runs[at] + 1
-            runs[last + 1] = 0
-            runs[at + 1] = grown
-            last = at
-            if len(at):
-                k = int(grown.argmax())
-                if grown[k] > best:
-                    best = int(grown[k])
-                    bi, bj = i - best + 1, int(at[k]) + blo - best + 1
-        if best:
-            total += best
-            if alo < bi and blo < bj:
-                todo.append((alo, bi, blo, bj))
-            if bi + best < ahi and bj + best < bhi:
-                todo.append((bi + best, ahi, bj + best, bhi))
-    return total
-
-
 def _ratio(a, b) -> float:
-    if isinstance(a, str) and len(a) * len(b) > SMALL:
-        return 2.0 * _matched(a, b) / (len(a) + len(b))
+    if len(a) * len(b) > runs.SMALL:
+        return 2.0 * runs.matched(a, b) / (len(a) + len(b))
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
@@ -98,7 +56,8 @@ def list_opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
         if x is None or y is None:
             out.append(None)
             continue
-        ops = difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).get_opcodes()
+        x, y = list(x), list(y)
+        ops = runs.opcodes(x, y) if len(x) * len(y) > runs.SMALL else difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
         out.append([dict(zip(("tag", "i1", "i2", "j1", "j2"), op)) for op in ops])
     return pd.Series(out)
 

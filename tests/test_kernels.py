@@ -3,18 +3,51 @@
 import difflib
 import random
 
-from palimpsest.functions.kernels import _matched, _ratio
+import pytest
 
+from palimpsest.functions import runs
+from palimpsest.functions.kernels import _ratio
 
-def test_matched_characters_equal_stdlib():
+
+def edited(rng, a, letters):
+    b = list(a)
+    for _ in range(rng.randrange(8)):
+        if b:
+            i = rng.randrange(len(b))
+            b[i:i + rng.randrange(4)] = [rng.choice(letters) for _ in range(rng.randrange(4))]
+    return "".join(b)
+
+
+@pytest.mark.parametrize("small", [0, 30, 40_000])
+def test_runs_equal_stdlib(monkeypatch, small):
+    monkeypatch.setattr(runs, "SMALL", small)
     rng = random.Random(5)
-    for n in range(120):
-        a = "".join(rng.choice("abc de") for _ in range(rng.randint(0, 60)))
-        b = "".join(rng.choice("abc de") for _ in range(rng.randint(0, 60)))
-        if n % 2:
-            b = a[:20] + "xx" + a[25:]
-        want = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-        assert _matched(a, b) == want
+    for n in range(400):
+        letters = ["abc de", "ab", "abcdefghé𝔘"][n % 3]
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        b = edited(rng, a, letters) if n % 2 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert runs.opcodes(a, b) == m.get_opcodes() and runs.opcodes(list(a), list(b)) == m.get_opcodes()
+        assert runs.matched(a, b) == sum(x.size for x in m.get_matching_blocks())
+
+
+def test_ratio_of_long_texts():
     long = "lorem ipsum dolor sit amet " * 20
     other = long.replace("dolor", "color")
     assert _ratio(long, other) == difflib.SequenceMatcher(None, long, other, autojunk=False).ratio()
+    assert _ratio("", "") == 1.0 and _ratio("a" * 900, "") == 0.0
+
+
+def test_a_million_characters():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    a = " ".join(rng.choice(words) for _ in range(170_000))
+    at = sorted(rng.sample(range(0, len(a) - 50, 50), 500))
+    b, last = [], 0
+    for i in at:
+        b += [a[last:i], "#" * rng.randrange(1, 9)]
+        last = i + rng.randrange(1, 9)
+    b = "".join([*b, a[last:]])
+    ops = runs.opcodes(a, b)
+    assert len(a) > 950_000 and "".join(a[i1:i2] if t == "equal" else b[j1:j2] for t, i1, i2, j1, j2 in ops) == b
+    assert sum(i2 - i1 for t, i1, i2, _, _ in ops if t == "equal") >= len(a) - 500 * 8
