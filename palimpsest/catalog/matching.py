@@ -79,6 +79,16 @@ def edited_ratios(spark, sf):
     return a.select("pair_id", "pos", F.round(gestalt_ratio("line", "other"), 9).alias("ratio"))
 
 
+@query("l2_ratio_of_outline_texts", S.with_(S.OUTLINE_A, """
+tp as (select pair_id, ord, text as x, 'edited ' || regexp_replace(text, 'e ', 'es ', 'g') as y from oa)""", S.ratio_sql("tp", ["pair_id", "ord"], "q"),
+                                             recursive=True) + "select pair_id, ord, round(r, 9) as ratio from qratio")
+def outline_ratios(spark, sf):
+    """Gestalt ratio of every text of the outline to its edited form."""
+    a = fx.outline_nodes(spark, sf)
+    edited = F.concat(F.lit("edited "), F.regexp_replace("text", "e ", "es "))
+    return a.select("pair_id", "ord", F.round(gestalt_ratio("text", edited), 9).alias("ratio"))
+
+
 @query("l4_thresholds", S.with_(S.LINES) + f"""
 select pair_id, side, pos, k as kind, case k when 'heading' then 0.72 when 'shape' then 0.8 when 'table' then 0.82
  when 'image' then 0.75 else case when n > 300 then 0.55 when n > 120 then 0.6 else 0.65 end end::double as t
@@ -96,11 +106,6 @@ def _outline_refined(spark, sf):
     return cp.compare_text(fx.outline_versions(spark, sf))
 
 
-@query("l3_l5_l6_l7_refined_opcodes")
-def refined(spark, sf):
-    return _outline_refined(spark, sf).opcodes
-
-
 OUTLINE_BLOCKS = f"""
 obk as (select *, {S.norm_sig('text')} as norm from ctx where not (type in ('heading', 'paragraph') and {S.skip_mark('text')})
         and (type = 'heading' or {S.norm_sig('text')} <> '')),
@@ -113,6 +118,39 @@ oblk as (select pair_id, side, row_number() over (partition by pair_id, side ord
 """
 
 
+# Replace slices resolved: candidates of one type, ratio over characters, greedy by similarity and distance, then single opcodes.
+REFINED = S.with_(S.OUTLINE, S.KEPT, S.PATHS, OUTLINE_BLOCKS, S.align_sql("oblk", PAIR, "q"), f"""
+onorm as (select *, {S.norm_sig("text")} as norm from oblk),
+ocand as (select o.pair_id, o.i1 as si, o.j1 as sj, x.idx - o.i1 as ki, y.idx - o.j1 as kj, x.norm as x, y.norm as y,
+    x.heading_ctx is not distinct from y.heading_ctx as same, x.type as kind
+  from qops o join onorm x on x.pair_id = o.pair_id and x.side = 'A' and x.idx >= o.i1 and x.idx < o.i2
+  join onorm y on y.pair_id = o.pair_id and y.side = 'B' and y.idx >= o.j1 and y.idx < o.j2 and y.type = x.type where o.tag = 'replace')""",
+    S.ratio_sql("ocand", ["pair_id", "si", "sj", "ki", "kj"], "c"), """
+oedge as (select * from (select o.*, least(1.0, r + case when same then 0.08 else 0 end) as sim,
+    least(case when kind = 'heading' then 0.72 when length(x) > 300 then 0.55 when length(x) > 120 then 0.6 else 0.65 end,
+          case when kind = 'heading' then 0.72 when length(y) > 300 then 0.55 when length(y) > 120 then 0.6 else 0.65 end)::double as cut
+  from ocand o join cratio using (pair_id, si, sj, ki, kj)) where sim >= cut)""",
+    S.greedy_sql("oedge", ["pair_id", "si", "sj"], "-sim, abs(ki - kj), ki, kj", "o"), """
+slices as (select pair_id, i1, i2, j1, j2, i2 - i1 = 1 and j2 - j1 = 1 as single from qops where tag = 'replace'),
+sa as (select s.*, k as ki, p.kj from (select *, unnest(range(i2 - i1)) as k from slices) s
+  left join opicks p on p.pair_id = s.pair_id and p.si = s.i1 and p.sj = s.j1 and p.ki = s.k),
+sb as (select s.*, k as kj, p.ki from (select *, unnest(range(j2 - j1)) as k from slices) s
+  left join opicks p on p.pair_id = s.pair_id and p.si = s.i1 and p.sj = s.j1 and p.kj = s.k),
+sw as (select *, last_value(ki ignore nulls) over (partition by pair_id, i1, j1 order by kj rows between unbounded preceding and current row) as back,
+    first_value(ki ignore nulls) over (partition by pair_id, i1, j1 order by kj rows between current row and unbounded following) as ahead from sb),
+rops as (
+  select pair_id, tag, i1, i2, j1, j2 from qops where tag <> 'replace'
+  union all select pair_id, case when kj is null then 'delete' else 'replace' end, i1 + ki, i1 + ki + 1,
+    coalesce(j1 + kj, case when single then j1 else j2 end), coalesce(j1 + kj + 1, case when single then j1 else j2 end) from sa
+  union all select pair_id, 'insert', coalesce(i1 + ahead, i1 + back + 1, i2), coalesce(i1 + ahead, i1 + back + 1, i2), j1 + kj, j1 + kj + 1 from sw where ki is null)
+""", recursive=True)
+
+
+@query("l3_l5_l6_l7_refined_opcodes", REFINED + "select pair_id, tag, i1::int as i1, i2::int as i2, j1::int as j1, j2::int as j2 from rops")
+def refined(spark, sf):
+    return _outline_refined(spark, sf).opcodes
+
+
 @query("l1_outline_opcodes", S.with_(S.OUTLINE, S.KEPT, S.PATHS, OUTLINE_BLOCKS, S.align_sql("oblk", PAIR, "q"),
                                      recursive=True) + "select pair_id, tag, i1, i2, j1, j2 from qops")
 def outline_opcodes(spark, sf):
@@ -131,10 +169,15 @@ def opcode_order(spark, sf):
 
 @query("o2_sequence_index", S.with_(S.LINES, S.LINE_BLOCKS, S.align_sql("lblk", PAIR, "q"), recursive=True) + """
 select pair_id, tag, cast(i1 + k as bigint) * 100000 as seq, 0 as at from (select *, unnest(range(i2 - i1)) as k from qops where tag = 'delete')
-union all select pair_id, tag, cast(i1 as bigint) * 100000 - 50000 + k, j1 + k from (select *, unnest(range(j2 - j1)) as k from qops where tag = 'insert')""")
+union all select pair_id, tag, cast(i1 as bigint) * 100000 - 50000 + k, j1 + k from (select *, unnest(range(j2 - j1)) as k from qops where tag = 'insert')
+union all select pair_id, tag, cast(i1 as bigint) * 100000, j1 from qops where tag = 'replace' and i2 - i1 = 1 and j2 - j1 = 1
+union all select pair_id, 'delete', cast(i1 + k as bigint) * 100000, 0 from (
+  select *, unnest(range(i2 - i1)) as k from qops where tag = 'replace' and not (i2 - i1 = 1 and j2 - j1 = 1))
+union all select pair_id, 'insert', cast(i2 as bigint) * 100000 - 50000 + k, j1 + k from (
+  select *, unnest(range(j2 - j1)) as k from qops where tag = 'replace' and not (i2 - i1 = 1 and j2 - j1 = 1))""")
 def sequence_index(spark, sf):
     from palimpsest.operators.report import touched
-    ops = align.opcodes(line_items(spark, sf), PAIR).filter(F.col("tag").isin("delete", "insert"))
+    ops = align.opcodes(line_items(spark, sf), PAIR)
     t = touched(ops, PAIR)
     return t.select("pair_id", F.col("kind").alias("tag"), "seq", F.coalesce("b", F.lit(0)).cast("int").alias("at"))
 

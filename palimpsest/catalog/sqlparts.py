@@ -235,3 +235,34 @@ lnorm as (select pair_id, side, pos, line, {norm_sig("line")} as norm from lines
 lblk as (select pair_id, side, row_number() over (partition by pair_id, side order by pos) - 1 as idx, pos as ord, line, norm,
          'paragraph|P:' || substr(md5('txt:' || norm), 1, 16) as key from lnorm where norm <> '')
 """
+
+
+def ratio_sql(pairs: str, keys: list[str], p: str) -> str:
+    """CTEs ending in ``{p}ratio``: gestalt ratio ``r`` over the characters of the texts ``x`` and ``y`` of ``pairs (keys, x, y)``."""
+    k = ", ".join(keys)
+
+    def chars(side: str, text: str) -> str:
+        return f"select {k}, '{side}' as side, generate_subscripts(string_split({text}, ''), 1) - 1 as idx, unnest(string_split({text}, '')) as key from {pairs} where x <> y and {text} <> ''"
+
+    return f"{p}ch as ({chars('A', 'x')} union all {chars('B', 'y')}),\n" + align_sql(f"{p}ch", keys, p).strip() + f""",
+{p}eq as (select {k}, sum(i2 - i1) as m from {p}ops where tag = 'equal' group by {k}),
+{p}ratio as (select {", ".join("o." + c for c in keys)}, case when x = y then 1.0::double else 2.0::double * coalesce(m, 0) / (length(x) + length(y)) end as r
+  from {pairs} o left join {p}eq e on {" and ".join(f"o.{c} = e.{c}" for c in keys)})
+"""
+
+
+def greedy_sql(edges: str, keys: list[str], order: str, p: str) -> str:
+    """CTEs ending in ``{p}picks``: edges ``(keys, ki, kj)`` in ``order``, each taken if both its ends are still free."""
+    k = ", ".join(keys)
+    on = " and ".join(f"g.{c} = e.{c}" for c in keys)
+    return f"""
+{p}rk as (select {k}, ki::int as ki, kj::int as kj, row_number() over (partition by {k} order by {order}) as rn from {edges}),
+{p}gr as (
+ select distinct {k}, 0::bigint as rn, []::int[] as ua, []::int[] as ub from {p}rk
+ union all
+ select {", ".join("g." + c for c in keys)}, e.rn, case when list_contains(ua, ki) or list_contains(ub, kj) then ua else list_append(ua, ki) end,
+   case when list_contains(ua, ki) or list_contains(ub, kj) then ub else list_append(ub, kj) end
+ from {p}gr g join {p}rk e on {on} and e.rn = g.rn + 1),
+{p}picks as (select {k}, unnest(ua) as ki, unnest(ub) as kj from (
+  select *, row_number() over (partition by {k} order by rn desc) as last from {p}gr) where last = 1)
+"""

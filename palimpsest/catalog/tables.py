@@ -256,19 +256,19 @@ def merged(spark, sf):
         F.md5(tb.joined("_g", ["anchor_row", "anchor_col"], "|")).alias("grid"))
 
 
-@query("m6_rejoined_labels", S.with_(S.CELLS) + """, lb as (select pair_id, anchor_row, anchor_col, case when anchor_row = 0 then text
-   else 'group ' || ((anchor_row - 1) // (2 + anchor_col % 2)) end as text from cells where side = 'A' and anchor_col < 3),
+@query("m6_rejoined_labels", S.with_(S.CELLS) + """, lb as (select pair_id, side, anchor_row, anchor_col, case when anchor_row = 0 then text
+   else 'group ' || ((anchor_row - 1) // (2 + anchor_col % 2)) end as text from cells),
  f as (select *, case when anchor_col <= 1 and lag(text) over w = text then 0 else 1 end as new from lb
-   window w as (partition by pair_id, anchor_col order by anchor_row)),
- g as (select *, sum(new) over (partition by pair_id, anchor_col order by anchor_row) as isl from f)
-select pair_id, anchor_col, cast(min(anchor_row) as int) as anchor_row, cast(count(*) as int) as row_span, min(text) as text
-from g group by pair_id, anchor_col, isl""")
+   window w as (partition by pair_id, side, anchor_col order by anchor_row)),
+ g as (select *, sum(new) over (partition by pair_id, side, anchor_col order by anchor_row) as isl from f)
+select pair_id, side, anchor_col, cast(min(anchor_row) as int) as anchor_row, cast(count(*) as int) as row_span, min(text) as text
+from g group by pair_id, side, anchor_col, isl""")
 def rejoined(spark, sf):
     label = F.when(F.col("anchor_row") == 0, F.col("text")).otherwise(F.concat(F.lit("group "), F.floor(
         (F.col("anchor_row") - 1) / (2 + F.col("anchor_col") % 2)).cast("string")))
-    c = fx.order_cells(spark, sf).filter("side = 'A' and anchor_col < 3").select(
-        "pair_id", "anchor_row", "anchor_col", "row_span", F.lit(1).alias("col_span"), label.alias("text"))
-    return tb.rejoin_labels(c, PAIR).drop("col_span")
+    c = fx.order_cells(spark, sf).select(
+        *BY, "anchor_row", "anchor_col", "row_span", F.lit(1).alias("col_span"), label.alias("text"))
+    return tb.rejoin_labels(c, BY).drop("col_span")
 
 
 @query("a10_page_union", """
@@ -301,7 +301,22 @@ def _maps(spark, sf):
     return c, cut_lineage(td.header_map(c, PAIR))
 
 
-@query("b2_j8_header_map")
+# Titles are those of row zero here: every later row holds a price, which ends the header.
+HEADS = S.with_(S.CELLS, f"""
+ttl as (select pair_id, side, anchor_col as col, {S.norm_text("text")} as title from cells where anchor_row = 0),
+hp as (select pair_id, list(row(col, title) order by col) filter (where side = 'A') as ta, list(row(col, title) order by col) filter (where side = 'B') as tb from ttl group by 1),
+hu as (select row_number() over (order by ta, tb) as head, ta, tb from (select distinct ta, tb from hp)),
+hx as (select head, x[1] as ki, x[2] as x, y[1] as kj, y[2] as y from (
+   select head, x, unnest(tb) as y from (select head, unnest(ta) as x, tb from hu)))""", S.ratio_sql("hx", ["head", "ki", "kj"], "q"), """
+he as (select h.head, h.ki, h.kj, r from hx h join qratio using (head, ki, kj) where r >= case when least(length(x), length(y)) < 4 then 0.85 else 0.6 end)""",
+    S.greedy_sql("he", ["head"], "-r, ki, kj", "h"), """
+hm as (select head, ki as a_col, kj as b_col from hpicks
+  union all select head, x[1], null from (select head, unnest(ta) as x from hu) t where not exists (select 1 from hpicks p where p.head = t.head and p.ki = t.x[1])
+  union all select head, null, y[1] from (select head, unnest(tb) as y from hu) t where not exists (select 1 from hpicks p where p.head = t.head and p.kj = t.y[1]))
+""", recursive=True)
+
+
+@query("b2_j8_header_map", HEADS + "select hp.pair_id, a_col::int as a_col, b_col::int as b_col from hp join hu using (ta, tb) join hm using (head)")
 def header_map(spark, sf):
     return _maps(spark, sf)[1]
 
@@ -419,9 +434,9 @@ def noise(spark, sf):
 
 
 @query("b10_row_records", S.with_(S.CELLS, NORM) + """select pair_id, side, anchor_row,
- coalesce(string_agg(t, ' | ' order by anchor_col) filter (where t <> ''), '') as row_text from nc where anchor_col < 3 group by all""")
+ coalesce(string_agg(t, ' | ' order by anchor_col) filter (where t <> ''), '') as row_text from nc group by all""")
 def row_records(spark, sf):
-    rows = td.anchor_rows(fx.order_cells(spark, sf).filter("anchor_col < 3"), PAIR)
+    rows = td.anchor_rows(fx.order_cells(spark, sf), PAIR)
     return rows.select("pair_id", "side", "anchor_row", F.col("norm").alias("row_text"))
 
 
