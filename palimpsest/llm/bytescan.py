@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,16 +10,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a kernel works on at a time; a longer document is worked on alone.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_VALUE = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LANES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xDA942042E4DD58B5))
+#: Byte ranges longer than this are hashed one by one by the standard library.
+LONG = 4096
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,18 +50,6 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         first = last
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, for positions below ``n``."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _powers[name] = np.multiply.accumulate(row)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a finalizer: bijective)."""
     h = h ^ (h >> np.uint64(30))
@@ -70,12 +60,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, equal for equal bytes wherever they stand."""
-    up, down = powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_VALUE[buf] * up[:-1], out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range, equal for equal bytes wherever they stand; ``lane`` 0 or 1 gives one of two independent ones.
+
+    Eight bytes at a time go through a finalizer that is not linear, so no pattern of repeats makes different ranges equal.
+    """
+    size = end - start
+    h = mixed(size.astype(np.uint64) * _STEP + _LANES[lane])
+    if not len(size):
+        return h
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)
+    left = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(left := left[size[left] > done]):
+        block = windows[start[left] + done].view("<u8")[:, 0]
+        rest = size[left] - done
+        short = rest < 8
+        block[short] &= (np.uint64(1) << (np.uint64(8) * rest[short].astype(np.uint64))) - np.uint64(1)
+        h[left] = mixed((h[left] ^ block) + _LANES[lane])
+        done += 8
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(buf[start[i]:end[i]].tobytes(), digest_size=16).digest()
+        h[i] = np.frombuffer(digest, "<u8")[lane]
+    return h
 
 
 def document_starts(at: np.ndarray, n: int) -> np.ndarray:

@@ -15,8 +15,8 @@ import numpy as np
 
 from palimpsest.llm.bytescan import SPACE, document_starts, hashes, slices, words
 
-#: Encoded words that one worker keeps; beyond it the store starts anew. About 40 bytes each.
-WORDS_KEPT = 800_000
+#: Encoded words that one worker keeps; beyond it the store starts anew. About 50 bytes each.
+WORDS_KEPT = 400_000
 
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
 _loaded: dict[str, "Encoder"] = {}
@@ -74,7 +74,7 @@ class Encoder:
         return [self._of_word(p) if x else next(rest).ids for p, x in zip(parts, lone, strict=True)]
 
     def _clear(self) -> None:
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.keys, self.slots, self.check = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
         self.begin, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
 
     def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +93,13 @@ class Encoder:
         if len(odd):
             plain = ~np.isin(doc, odd)
             start, end, doc = start[plain], end[plain], doc[plain]
-        slot = self._slots(data, hashes(buf, start, end), start, end)
+        check = hashes(buf, start, end, lane=1)
+        slot = self._slots(data, hashes(buf, start, end), check, start, end)
+        # Another word has the hash of this one: its text is encoded as a whole.
+        if len(alike := np.unique(doc[self.check[slot] != check])):
+            odd = np.union1d(odd, alike)
+            plain = ~np.isin(doc, odd)
+            slot, doc = slot[plain], doc[plain]
         size = self.size[slot]
         total = int(size.sum())
         where = np.repeat(self.begin[slot] - (np.cumsum(size) - size), size) + np.arange(total)
@@ -141,7 +147,7 @@ class Encoder:
         start = np.flatnonzero(cut)
         return start, np.append(start[1:], n), np.searchsorted(at, start, side="right") - 1
 
-    def _slots(self, data: bytes, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _slots(self, data: bytes, h: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         key, inverse = np.unique(h, return_inverse=True)
         if len(self.keys) + len(key) > WORDS_KEPT:
             self._clear()
@@ -158,6 +164,7 @@ class Encoder:
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(itertools.chain.from_iterable(ids), self.dtype, int(size.sum()))
             slots = len(self.begin) + np.arange(len(new))
+            self.check = np.concatenate([self.check, check[some[new]]])
             self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
             self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, flat])
             self.keys, self.slots = np.insert(self.keys, at[new], key[new]), np.insert(self.slots, at[new], slots)

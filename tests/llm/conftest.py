@@ -21,3 +21,12 @@ def edge_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(edge_docs):
     return edge_docs.limit(0)
+
+
+@pytest.fixture(scope="session")
+def repeats():
+    """Two words of 1,024 letters, each half the other's with its letters exchanged: any polynomial modulo a power of two takes them for one."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from palimpsest.llm import packing, token_files
 from palimpsest.llm.bytescan import text_bytes
 from palimpsest.llm.shared import new_folder
-from palimpsest.llm.tokens import encoder
+from palimpsest.llm.tokens import Encoder, encoder
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ODD = ["", " ", "\n\n", "a  b", "  a\n\n b \n", "x<|endoftext|>\n\ny", "a\u00a0b\u3000c", "it's  don't\t\tok\r\n x", "é É ñ中文 🙂🙂", "a\x1cb", " \n\t x", "x \n",
@@ -109,3 +109,25 @@ def test_every_piece_has_a_place_without_gaps(spark, edge_docs, monkeypatch, tog
 
 def test_nothing_is_packed_into_nothing(no_docs):
     assert packing.pack_pieces(packing.token_pieces(no_docs, public_tokenizers.path(FILES[1]))).count() == 0
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_words_of_repeats_have_their_own_ids(name, repeats):
+    enc = Encoder(public_tokenizers.path(name))
+    texts = [*repeats, " ".join(repeats), "c" * 5000, "c" * 5000 + "d"]
+    ids, n = enc.encode(*text_bytes(pa.array(texts)))
+    want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    from palimpsest.llm import tokens
+
+    plain = tokens.hashes
+    monkeypatch.setattr(tokens, "hashes", lambda buf, start, end, lane=0: plain(buf, start, end, lane) % np.uint64(3 if lane == 0 else 2**63))
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two three four", "five six seven", "eight", "one two"]
+    for _ in range(2):
+        ids, n = enc.encode(*text_bytes(pa.array(texts)))
+        want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
