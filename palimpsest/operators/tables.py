@@ -8,6 +8,7 @@ map-side combined and bounded by the width of a table; only row values meet per
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fingerprint as fp
@@ -293,15 +294,62 @@ def repeated_headers(base: DataFrame, extra: DataFrame, keys: list[str]) -> Data
 def merge_runs(cells: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Append the tables of every run to its first one.
 
-    ``cells`` of all tables carry ``table_uid``; ``groups`` comes from ``merge_groups``.  One step per table of the
-    longest run, all runs together; every step drops the continuation row of the part built so far, skips repeated
-    header rows of the next table, moves its rows below, drops cells beyond the grid and stretches last columns.
+    ``cells`` of all tables carry ``table_uid``; ``groups`` comes from ``merge_groups``.  A table that is appended loses the header rows that repeat those of
+    the first one, cells beyond its grid, and, if another follows, its continuation row; last columns are stretched.  What is left of it has a height, so the
+    place of each table is the sum of the heights before it: a constant number of passes, however long a run is.  Where more than the first table decides on
+    the next (it is repeated whole and goes on, or a table leaves nothing), the run is built step by step.
     """
     tables = groups.filter("type = 'table'").select(*keys, "run", "step", "table_uid")
     head = tables.filter("step = 0").select(*keys, "run", F.col("table_uid").alias("base_uid"))
     c = cells.join(tables, [*keys, "table_uid"]).join(head, [*keys, "run"])
     c = cut_lineage(c.withColumn("table_uid", F.col("base_uid")).drop("base_uid"))
-    by = [*keys, "run"]
+    by, one = [*keys, "run"], [*keys, "run", "step"]
+    nxt = c.filter("step > 0")
+    last = cut_lineage(nxt.groupBy(*by).agg(F.max("step").alias("_end")))
+    first = c.filter("step = 0")
+    base = cut_lineage(drop_continuation_rows(first.join(last.select(*by), by, "left_semi"), by))
+    skip = cut_lineage(_repeated_of_first(base, nxt, by))
+    first_rows = scan(nxt.groupBy(*one, "anchor_row").agg(F.lit(1).alias("_one")), one, "anchor_row", {"_nth": Run("count", F.lit(1))}, chunk=PLAIN).drop("_one")
+    widest = nxt.filter("anchor_row > 0").groupBy(*one).agg(F.max("anchor_col").alias("_maxcol"))
+    grid = table_sizes(first, by).select(*by, F.col("cols").alias("_cols"))
+    e = nxt.join(first_rows, [*one, "anchor_row"]).join(skip.select(*one, "repeated"), one).join(grid, by).join(widest, one, "left").join(last, by)
+    left = F.col("_cols") - F.col("anchor_col")
+    span = F.when(F.col("anchor_col") == F.col("_maxcol"), left).otherwise(F.col("col_span"))
+    e = cut_lineage(e.filter((F.col("_nth") > F.col("repeated")) & (left > 0)).withColumn("col_span", F.greatest(F.lit(1), F.least(span, left)).cast("int"))
+                    .withColumn("anchor_row", (F.col("anchor_row") - F.col("repeated")).cast("int")).select(*c.columns, "_end"))
+    nothing = nxt.select(*one).distinct().join(last, by).filter("step < _end").join(e.select(*one).distinct(), one, "left_anti")
+    serial = cut_lineage(skip.filter("goes_on and step > 1").select(*by).unionByName(nothing.select(*by)).distinct())
+    kept = drop_continuation_rows(e.filter("step < _end"), one).unionByName(e.filter("step = _end")).drop("_end")
+    kept = cut_lineage(base.unionByName(kept.select(*c.columns)))
+    heights = kept.groupBy(*one).agg(F.max(F.col("anchor_row") + F.col("row_span")).alias("_height"))
+    before = F.coalesce(F.sum("_height").over(W.partitionBy(*by).orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = kept.join(heights.select(*one, before.alias("_rows")), one).withColumn("anchor_row", (F.col("anchor_row") + F.col("_rows")).cast("int"))
+    out = out.select(*c.columns).join(serial, by, "left_anti").unionByName(first.join(last.select(*by), by, "left_anti")).drop("step")
+    return out if serial.isEmpty() else out.unionByName(_step_by_step(cut_lineage(c.join(serial, by, "left_semi")), by).select(*out.columns))
+
+
+def _repeated_of_first(base: DataFrame, extra: DataFrame, by: list[str]) -> DataFrame:
+    """``by, step, repeated``: leading rows of each later table that repeat those of the first; ``goes_on`` if it has more rows and all of the first's agree."""
+    one = [*by, "step"]
+
+    def numbered(c, keys, name):
+        r = c.withColumn("_t", norm_text(F.col("text"))).groupBy(*keys, "anchor_row").agg(joined("_t", ["anchor_col"], "|").alias(name))
+        return scan(r, keys, "anchor_row", {"n": Run("count", F.lit(1))}, chunk=PLAIN).select(*keys, "n", name)
+
+    x, y = numbered(base, by, "x"), numbered(extra, one, "y")
+    both = y.join(x, [*by, "n"], "left")
+    blank = (F.translate("x", "|", "") == "") & (F.translate("y", "|", "") == "")
+    hit = ~blank & (F.col("x") == F.col("y"))
+    both = both.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_stop", F.when(F.col("x").isNotNull() & ~blank & ~hit, F.col("n")))
+    ends = both.groupBy(*one).agg(F.min("_stop").alias("_end"), F.count_if(F.col("x").isNull()).alias("_more"))
+    counted = both.join(ends, one).groupBy(*one).agg(
+        F.count_if(F.col("_hit") & (F.col("_end").isNull() | (F.col("n") < F.col("_end")))).cast("int").alias("repeated"),
+        F.max(F.col("_end").isNull() & (F.col("_more") > 0)).alias("goes_on"))
+    return counted
+
+
+def _step_by_step(c: DataFrame, by: list[str]) -> DataFrame:
+    """Runs whose tables depend on what has been built before them: one step per table of the longest run, all runs together."""
     longest = c.agg(F.max("step")).first()[0] or 0
     grid = table_sizes(c.filter("step = 0"), by).select(*by, F.col("cols").alias("_cols"))
     merged = c.filter("step = 0").drop("step")
