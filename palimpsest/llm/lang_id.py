@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytescan import LOWER, document_starts, mixed, slices, text_bytes
+from palimpsest.llm.shared import release, tidied
 
 #: Bytes of an n-gram.
 N = 5
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", per_language: i
                     own, n = np.unique(key[(names[first:last] == name)[doc]], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(own), pa.string()), "gram": own.astype(np.int64), "n": n})
 
-    seen = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_SEEN)
+    seen = sample.mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_SEEN)
     total = F.create_map(*[F.lit(x) for k in languages for x in (k, float(rate[k] * known[k]))])
     # One row per n-gram holds its count in every language; share is per training document.
     shares = seen.groupBy("gram").agg(F.collect_list(F.struct((F.col("n") / F.element_at(total, F.col("lang"))).alias("share"), "lang", "n")).alias("of"))
@@ -184,6 +185,7 @@ def predicted(model: Model, text: str | Column = "text") -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
         best, score = predict_bytes(model, *text_bytes(pa.array(texts, pa.string(), from_pandas=True)))
+        release()
         return pd.DataFrame({"lang_pred": names[best], "score": score})
 
     return of(F.col(text) if isinstance(text, str) else text)
@@ -198,3 +200,18 @@ def accepted(model: Model, text: str | Column = "text", least: float = 0.0) -> C
         return pd.Series((best >= 0) & (score >= least))
 
     return of(F.col(text) if isinstance(text, str) else text)
+
+
+def in_known_language(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose text is accepted, in Arrow batches.
+
+    A null text goes; rows, repeated ones too, and all other columns stay as they are.
+    """
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best, score = predict_bytes(model, *text_bytes(b.column(place)))
+            yield b.filter(pa.array((best >= 0) & (score >= least)))
+
+    return docs.mapInArrow(tidied(keep), docs.schema)

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bytescan import text_bytes
+from palimpsest.llm.shared import tidied
 from palimpsest.llm.tokens import encoder
 
 #: Pieces of one length that are ranked together in a task.
@@ -191,7 +192,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                     [*kept, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), ids.cast(pa.binary())],
                     ["doc_id", *keep, "piece", "start", "length", "ids"])
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(tidied(cut), schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
@@ -234,4 +235,4 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, length: str = "length",
 
     kept = ranked.select(*clean).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["sequence_id long", "offset long"])
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidied(place), schema)

@@ -32,7 +32,9 @@ def test_languages_of_edge_cases(spark, edge_docs, no_docs):
         assert lang == ("en" if letters else "und") and 0 <= score <= 1
     empty = lang_id.fit(no_docs)
     assert {r.p.lang_pred for r in edge_docs.select(lang_id.predicted(empty).alias("p")).collect()} == {"und"}
-    assert edge_docs.where(lang_id.accepted(model, "text", 0.2)).count() == sum(1 for t, lang, s in got if lang == "en" and s >= 0.2)
+    kept = lang_id.in_known_language(edge_docs, model, "text", 0.2)
+    assert kept.columns == edge_docs.columns and kept.exceptAll(edge_docs.where(lang_id.accepted(model, "text", 0.2))).count() == 0
+    assert kept.count() == sum(1 for t, lang, s in got if lang == "en" and s >= 0.2)
 
 
 def test_many_languages_fit_one_table():
