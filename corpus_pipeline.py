@@ -23,7 +23,7 @@ LEAST_SHARE = 0.2
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known. The model is learned from those that have one, but for the fifth that is held out (null ids, too)."""
     model = lang_id.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    return docs.where(lang_id.accepted(model, "text", LEAST_SHARE))
+    return lang_id.in_known_language(docs, model, "text", LEAST_SHARE)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
